@@ -22,6 +22,12 @@ def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op2_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsight.llm.suffix_buckets import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinsight.llm.host_reputation import Rule, judge
 
@@ -58,7 +64,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
