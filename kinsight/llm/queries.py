@@ -22,6 +22,13 @@ def op4_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsight.llm.quality_gam import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinsight.llm.suffix_buckets import remove_repeats
 
