@@ -37,3 +37,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = shared_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key is heavy above this share of the rows, which bounds the number of heavy keys by its inverse.
+HEAVY_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, found: DataFrame, key: str, value: str, count: str) -> DataFrame:
+    """rows with the value found for their key, else null. found: key (unique), value, count (rows with the key).
+
+    Heavy keys, of which there are fewer than HEAVY_SHARE, are joined by
+    broadcast; the others by a shuffle in which a heavy key's rows are spread.
+    """
+    total = found.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    is_heavy = F.col(count) * HEAVY_SHARE > total
+    heavy = found.where(is_heavy).select(key, F.col(value).alias("_often"))
+    light = found.where(~is_heavy).select(F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s")).alias("_tail"), F.col(value).alias("_seldom"))
+    joined = rows.join(F.broadcast(heavy), key, "left")
+    tail = F.when(F.col("_often").isNull() & F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(F.col(key).alias("k"), (F.xxhash64(*rows.columns) % 9973 + 10000).alias("s")))
+    joined = joined.withColumn("_tail", tail).join(light, "_tail", "left")
+    return joined.withColumn(value, F.coalesce("_often", "_seldom")).drop("_tail", "_often", "_seldom")

@@ -70,6 +70,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, write_sequences(table(spark, sf_dir, "documents"), byte_bpe()))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsight.llm.jaccard_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
