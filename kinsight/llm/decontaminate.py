@@ -120,3 +120,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, id_col: s
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that share no window with the benchmark."""
+    dirty = decontaminate(docs, items, length, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
+    return docs.join(dirty, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_content")), "left_anti")

@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsight.llm.common import join_spread, written
@@ -60,7 +60,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SETS = "doc_id long, n long, node long, f1 long, f2 long, sketch binary, elements binary, weak array<int>, slack array<int>"
+SETS = "doc_id long, content long, n long, node long, f1 long, f2 long, sketch binary, elements binary, weak array<int>, slack array<int>"
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def unpacked_elements(blob: bytes) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """A row per document (doc_id, text); the first of a batch's equal sets carries the set and is its node."""
+    """A row per document (doc_id, text, content); the first of a batch's equal sets carries the set and is its node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,8 +212,8 @@ def shingle_sets(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFr
                     rows.append((node, sketch[i].tobytes() if full else None, packed_elements(h[stops[i] - n[i] : stops[i]]) if full else None, weak[i].tolist(), slack[i].tolist()))
                 node, sk, el, wk, sl = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n.astype(np.int64)), pa.array(node, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sk, pa.binary()), pa.array(el, pa.binary()), pa.array(wk, pa.list_(pa.int32())), pa.array(sl, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "node", "f1", "f2", "sketch", "elements", "weak", "slack"],
+                    [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sk, pa.binary()), pa.array(el, pa.binary()), pa.array(wk, pa.list_(pa.int32())), pa.array(sl, pa.list_(pa.int32()))],
+                    ["doc_id", "content", "n", "node", "f1", "f2", "sketch", "elements", "weak", "slack"],
                 )
 
     return docs.mapInArrow(run, SETS)
@@ -338,9 +338,9 @@ def across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return rows.groupBy("signature").applyInPandas(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per document."""
-    sets = written(shingle_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), size, similar), "shingle-sets")
+def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, content (hash of the text), n (size of the set) and label (of the component) per document."""
+    sets = written(shingle_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content")), size, similar), "shingle-sets")
     nodes = sets.where("elements IS NOT NULL")
     alike = nodes.groupBy("n", "f1", "f2").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
     equal = written(nodes.join(alike, ["n", "f1", "f2"]).select("a", F.col("node").alias("b")).where("a != b"), "equal-sets")
@@ -368,9 +368,26 @@ def similar_components(docs: DataFrame, size: int = 5, similar: tuple[int, int]
     if more.take(1):
         labels = components(links.unionByName(more))
 
-    told = sets.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    told = written(told.select("doc_id", "n", "label"), "labelled-documents")
+    told = sets.select("doc_id", "content", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return written(told.select("doc_id", "content", "n", "label"), "labelled-documents")
+
+
+def similar_components(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id per document."""
+    told = labelled_documents(docs, size, similar, id_col, text_col)
     least = told.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
     linked = join_spread(told.where("n > 0"), least, "label", "component_id", "c")
     alone = told.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, less all but one of each component; texts without words stay."""
+    told = labelled_documents(docs, size, similar, id_col, text_col).where("n > 0")
+    first = told.groupBy("label").agg(F.min(F.struct("doc_id", "content")).alias("first"))
+    stays = first.select(F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content"))
+    keyed = docs.withColumn("_key", F.xxhash64(text_col)).withColumn("_worded", F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    met = keyed.where("_worded").join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_content")))
+    nth = F.row_number().over(Window.partitionBy(id_col, "_key").orderBy(F.lit(0)))
+    one = met.withColumn("_nth", nth).where("_nth = 1")
+    return one.select(docs.columns).unionByName(keyed.where("NOT _worded").select(docs.columns))

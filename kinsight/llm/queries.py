@@ -29,6 +29,12 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsight.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinsight.llm.suffix_buckets import remove_repeats
 

@@ -102,7 +102,7 @@ def matches(text: Column, rule: SecretRule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id and spans: array of (start, rule, end), sorted; one row per document."""
+    """row, doc_id, content and spans: array of (start, rule, end), sorted; one row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
     index, conditions = candidates(keyed, list(rules))
@@ -112,12 +112,12 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULE
     none = F.array().cast("array<struct<rule:int,i:int,gap:int,length:int,counts:boolean>>")
     found = F.concat(*[F.when(c, matches(F.col("text"), r, k)).otherwise(none) for k, (r, c) in enumerate(zip(rules, conditions))])
     # the row number is fixed once written
-    scanned = written(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found")), "secret-matches")
+    scanned = written(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", found.alias("found")), "secret-matches")
     upto = Window.partitionBy("row", "rule").orderBy("i")
     spread = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.*")
     placed = spread.withColumn("end", F.sum((F.col("gap") + F.col("length")).cast("long")).over(upto)).where("counts")
     spans = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("length")).alias("start"), "rule", "end"))).alias("spans"))
-    return scanned.select("row", "doc_id").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")))
+    return scanned.select("row", "doc_id", "content").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")))
 
 
 def summarise(scanned: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -132,3 +132,20 @@ def summarise(scanned: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
         return F.size(F.filter("spans", lambda s: s["rule"] == order)).cast("long")
 
     return scanned.select("doc_id", *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES, marker: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, each stretch of spans in the text replaced by the marker."""
+    spans = scan(docs, rules, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans").dropDuplicates(["_id", "_content"])
+    # spans that touch or overlap become one stretch; pieces are what lies between stretches
+    start = F.aggregate("_spans", F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")), lambda acc, s: F.when(
+        s["start"] <= acc["end"],
+        F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(F.element_at(acc["out"], -1)["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end")))).alias("out")),
+    ).otherwise(F.struct(s["end"].alias("end"), F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("out"))), lambda acc: acc["out"])
+    met = docs.join(spans.withColumnRenamed("spans", "_spans"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_content")), "left")
+    met = met.withColumn("_held", F.when(F.col("_spans").isNotNull(), start))
+    text = F.col(text_col)
+    pieces = F.transform("_held", lambda s, i: F.concat(text.substr((F.when(i > 0, F.element_at("_held", i)["end"]).otherwise(0) + 1).cast("int"), (s["start"] - F.when(i > 0, F.element_at("_held", i)["end"]).otherwise(0)).cast("int")), F.lit(marker)))
+    last = text.substr((F.element_at("_held", -1)["end"] + 1).cast("int"), F.length(text))
+    masked = F.when(F.col("_held").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), last))
+    return met.withColumn(text_col, masked).select(docs.columns)
