@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinsight.plans import profile_queries, registry, session_queries  # noqa: F401
+from kinsight.plans import attribution_queries, profile_queries, registry, session_queries  # noqa: F401
 
 
 def queries():
