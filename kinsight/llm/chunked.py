@@ -63,20 +63,6 @@ class ChunkedEncoder:
                 pieces.insert(0, head)
         return b"".join(self._merged(pieces))
 
-    def prepare(self, texts: list[str], encode_many: Callable[[list[str]], list[bytes]]) -> None:
-        """Encode in one call the chunks of these texts that the table lacks."""
-        seen = set()
-        for text in texts:
-            seen.update(text.split(" "))
-        lacking = [x for x in seen.difference(self.spaced) if x and len(x) <= 32 and not loose(x[0]) and not loose(x[-1])]
-        older = self.spaced.older
-        new = [x for x in lacking if x not in older]
-        ids = dict(zip(new, encode_many([" " + x for x in new])))
-        if len(self.spaced) + len(lacking) > self.spaced.limit:
-            self.spaced.older = dict(self.spaced) | {x: older[x] for x in lacking if x in older}
-            self.spaced.clear()
-        self.spaced.update(ids)
-
     def _merged(self, pieces: list[str]):
         chunk, clean = pieces[0], False
         for piece in pieces[1:]:

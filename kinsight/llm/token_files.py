@@ -19,6 +19,7 @@ come first; an empty table gives no shard and no row.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.llm.chunked import ChunkedEncoder
+from kinsight.llm.bpe_prefix_dp import SIMPLE, SIMPLE_SPLIT, byte_alphabet
+from kinsight.llm.chunked import ChunkedEncoder, loose
 from kinsight.llm.common import shared_dir, written
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
@@ -36,7 +38,12 @@ BATCH = 64
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a table of chunks."""
+    """The tokenizers library behind a table of chunks.
+
+    A chunk of ASCII and Latin letters is cut by the pre-tokenizer's pattern and
+    its parts go to the library's model itself; any other chunk, and one with an
+    added token, goes through the library's whole pipeline.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,16 +51,30 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table = ChunkedEncoder(lambda x: self.many([x])[0])
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.mapping = dict(enumerate(byte_alphabet()))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table = ChunkedEncoder(self.chunk)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        if not SIMPLE.fullmatch(text) or any(a in text for a in self.added):
+            return self.whole(text)
+        parts = SIMPLE_SPLIT.findall(text)
+        if len(parts) == 1:
+            return self.part(text)
+        spaced = self.table.spaced
+        return b"".join(spaced[p[1:]] if p[0] == " " and len(p) > 1 and not loose(p[1]) and not loose(p[-1]) else self.part(p) for p in parts)
+
+    def part(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+        return array("I", [t.id for t in self.model.tokenize(text.translate(self.mapping))]).tobytes()
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            self.table.prepare(part, self.many)
-            yield from map(self.table.encode, part)
+        return map(self.table.encode, texts)
 
 
 @lru_cache(maxsize=2)
