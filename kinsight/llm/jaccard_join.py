@@ -53,7 +53,9 @@ SKETCH = 128
 #: Signatures that one task groups at a time.
 PART_ROWS = 1_000_000
 #: Bytes of text hashed at once, and bytes kept of an element's hash.
-PIECE, KEPT = 1 << 21, 6
+PIECE, KEPT = 1 << 20, 6
+#: Documents worked on at once.
+SLICE = 400
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -187,8 +189,8 @@ def shingle_sets(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFr
 
         base, used = TaskContext.get().partitionId() << 33, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 h, owner = shingles([(t or "").encode() for t in batch.column(1).to_pylist()], size)
                 n = np.bincount(owner, minlength=batch.num_rows)
                 sums = np.zeros((2, batch.num_rows), np.uint64)
@@ -225,8 +227,8 @@ def grouped(sets: DataFrame, parts: int, similar: tuple[int, int]) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 each = [unpacked_elements(x) for x in batch.column(1).to_pylist()]
                 n = np.array([len(x) for x in each])
                 s, o, _, _ = signatures(np.concatenate(each), np.repeat(np.arange(len(n)), n), n, similar)
@@ -273,12 +275,16 @@ def _six(blob: bytes) -> np.ndarray:
 def members_of(groups: DataFrame) -> DataFrame:
     """signature, common, member, one row each."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples():
-                yield pd.DataFrame({"signature": row.signature, "common": row.common, "member": np.frombuffer(row.members, np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                blobs = batch.column(2).to_pylist()
+                times = np.array([len(x) // 8 for x in blobs])
+                columns = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["signature", "common", "member"])
 
-    return groups.mapInPandas(run, "signature long, common boolean, member long")
+    return groups.mapInArrow(run, "signature long, common boolean, member long")
 
 
 def differ_at_most(na: np.ndarray, nb: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
@@ -320,22 +326,49 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
 
 
 def across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs a, b of different components within a group that sketches don't rule out. rows: signature, node, label, n, sketch."""
+    """Pairs a, b of different components within a group that sketches don't rule out. rows: signature, node, label, n, sketch.
+
+    A group's rows arrive together, in order of label; a task holds one group at a time besides the batch read.
+    """
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("node").sort_values(["label", "node"])
-        node, label, n = f["node"].to_numpy(), f["label"].to_numpy(), f["n"].to_numpy()
-        sketch = np.frombuffer(b"".join(f["sketch"]), "<u2").reshape(len(f), SKETCH).astype(np.int32)
+    def pairs(label: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
         out = []
-        for i in range(len(f) - 1):
-            # rows are in order of label: what follows the last of i's component
-            j = np.searchsorted(label, label[i], "right")
-            if j < len(f):
-                far = np.abs(sketch[j:] - sketch[i]).sum(axis=1) > differ_at_most(n[j:], n[i], similar)
-                out += [(node[i], x) for x in node[j:][~far]]
-        return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"], dtype=np.int64)
-
-    return rows.groupBy("signature").applyInPandas(run, "a long, b long")
+        ends = np.searchsorted(label, label, "right")
+        for i in np.flatnonzero(ends < len(label)):
+            far = np.abs(sketch[ends[i] :].astype(np.int32) - sketch[i]).sum(axis=1) > differ_at_most(n[ends[i] :], n[i], similar)
+            other = node[ends[i] :][~far]
+            if len(other):
+                out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            found = pairs(*(np.concatenate(x) for x in zip(*held)))
+            if found:
+                both = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                sign, label, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u2").reshape(-1, SKETCH)
+                cuts = [0, *(np.flatnonzero(sign[1:] != sign[:-1]) + 1).tolist(), len(sign)]
+                for x, y in zip(cuts, cuts[1:]):
+                    if x < y:
+                        if last is not None and sign[x] != last:
+                            yield from settle()
+                            held = []
+                        last = sign[x]
+                        held.append((label[x:y], node[x:y], n[x:y], sketch[x:y]))
+        if held:
+            yield from settle()
+
+    dealt = rows.dropDuplicates(["signature", "node"]).select("signature", "label", "node", "n", "sketch").repartition("signature").sortWithinPartitions("signature", "label", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
