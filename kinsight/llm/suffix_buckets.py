@@ -12,9 +12,9 @@ bucket alike without a global sort; two of them are compared, 128 bits in all.
 Only buckets that can repeat are refined. Of every `depth` bytes the q-gram with
 the smallest identifier (leftmost on ties) is the window's anchor; equal windows
 have equal anchors at equal offsets. Consecutive windows of one anchor form a
-run. Runs with an anchor that occurs nowhere else are done with at once. Equal
-runs are whole copies: all but the earliest go. Runs that share an anchor and
-differ are refined window by window.
+run (depths up to a thousand bytes). Runs with an anchor that occurs nowhere else are done with at once. Equal
+runs are whole copies: all but the earliest go. Runs that share an anchor and the bytes on one
+side of it, but differ, are refined window by window.
 
 Shuffles carry runs (one for some 35 bytes) after each batch has kept the
 earliest of its equal runs. Anchors that a sample shows to be frequent are dealt
@@ -46,6 +46,8 @@ GRAM = 32
 PIECE = 1 << 20
 #: A run's place in one number: start, then bits of the text's checksum.
 TEXT_BITS = 24
+#: Bits of a run's number of windows, and of the marks of the bytes beside its anchor.
+RUN_BITS, SIDE_BITS = 10, 10
 #: Anchors with more than this share of a sample's runs are dealt out by run.
 HEAVY_SHARE = 2000
 RUNS = "anchor long, run long, doc long, place long, n int, known boolean"
@@ -84,6 +86,7 @@ class Buckets:
         up, down = Powers.of(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(TABLE[data] * up[:-1], out=sums[1:])
+        self.sums, self.down = sums, down
         self.gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
         # refinement: identifiers of half the depth come back at later offsets
         two = 2 * GRAM
@@ -96,6 +99,10 @@ class Buckets:
         self.full = double[: len(data) - depth + 1]
         self.other = mix(self.gram[: len(self.full)] * K3 + self.gram[depth - GRAM : depth - GRAM + len(self.full)])
 
+    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Identifiers of the bytes from start to end."""
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
     def anchors(self, depth: int) -> np.ndarray:
         """For each window the position of its smallest q-gram, leftmost on ties."""
         bits = np.uint64(max(len(self.gram) - 1, 1).bit_length())
@@ -149,14 +156,20 @@ def stretches(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """anchor, run identifier, first window and number of windows of each run."""
+    """anchor, run identifier, first window, and number of windows with the marks of both sides, of each run."""
     buckets = Buckets(data, depth)
     at, windows = buckets.anchors(depth), windows_within(starts, depth)
     first, n = stretches(windows, at[windows])
     begin = windows[first]
     end = begin + n - 1
     run = mix(mix(buckets.full[begin] * K4 + buckets.full[end]) + n.astype(np.uint64) * K1 + (at[begin] - begin).astype(np.uint64))
-    return buckets.gram[at[begin]], run, begin, n
+    # what lies beside the anchor, if a window of the run reaches so far
+    anchor, beside = at[begin], (depth - GRAM) // 2
+    left = np.where(anchor - begin >= beside, buckets.stretch(np.maximum(anchor - beside, 0), anchor), run)
+    right_end = anchor + GRAM + beside
+    right = np.where(end + depth >= right_end, buckets.stretch(anchor + GRAM, np.minimum(right_end, len(data))), run)
+    bits = np.uint64((1 << SIDE_BITS) - 1)
+    return buckets.gram[anchor], run, begin, n | ((left & bits) << np.uint64(RUN_BITS) | (right & bits) << np.uint64(RUN_BITS + SIDE_BITS)).astype(np.int64)
 
 
 def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -175,11 +188,12 @@ def combined(anchor, run, doc, place, n) -> pa.RecordBatch:
     keep = earliest((run, anchor), doc, place)
     gone = np.flatnonzero(~keep)
     gone = gone[np.lexsort((place[gone], doc[gone]))]
+    windows = n & ((1 << RUN_BITS) - 1)
     if len(gone):
         start, text = place[gone] >> TEXT_BITS, place[gone] & ((1 << TEXT_BITS) - 1)
-        new = np.concatenate([[True], (doc[gone][1:] != doc[gone][:-1]) | (text[1:] != text[:-1]) | (start[1:] != (start + n[gone])[:-1])])
+        new = np.concatenate([[True], (doc[gone][1:] != doc[gone][:-1]) | (text[1:] != text[:-1]) | (start[1:] != (start + windows[gone])[:-1])])
         first = np.flatnonzero(new)
-        total = np.add.reduceat(n[gone], first)
+        total = np.add.reduceat(windows[gone], first)
         head = gone[first]
     else:
         head, total = gone, gone
@@ -264,10 +278,15 @@ def repeated_spans(docs: DataFrame, depth: int = 100) -> DataFrame:
     # a frequent anchor's runs go by run, the others by anchor, so that runs of one anchor meet
     route = F.when(F.col("heavy"), F.xxhash64("anchor", "run")).otherwise(F.col("anchor"))
     routed = runs.join(F.broadcast(heavy), "anchor", "left").withColumn("route", route).repartition("route")
-    by_route = Window.partitionBy("route")
-    differ = F.coalesce("heavy", F.lit(False)) | (F.min("run").over(by_route) != F.max("run").over(by_route))
+    # two windows alike around one anchor share at least the bytes on one side of it, up to half of what is left of the depth
+    routed = routed.withColumns({"left": F.shiftright("n", RUN_BITS) % (1 << SIDE_BITS), "right": F.shiftright("n", RUN_BITS + SIDE_BITS)})
+    differ = F.coalesce("heavy", F.lit(False))
+    for side in ("left", "right"):
+        alike = Window.partitionBy("route", side)
+        differ = differ | (F.min("run").over(alike) != F.max("run").over(alike))
+    windows = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") % (1 << RUN_BITS)).alias("n")
     decided = marked(routed).withColumn("open", ~F.col("goes") & differ)
-    decided = written(decided.where("goes OR open").select("doc", "place", "n", "goes"), "repeated-runs")
+    decided = written(decided.where("goes OR open").select("doc", "place", windows, "goes"), "repeated-runs")
 
     place = F.struct(F.shiftright("place", TEXT_BITS).alias("start"), "n")
     undecided = decided.where("NOT goes").groupBy(F.col("doc").alias("o_doc"), (F.col("place") % (1 << TEXT_BITS)).alias("o_text")).agg(F.collect_list(place).alias("runs"))
