@@ -105,7 +105,7 @@ def peak_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.peak_shift(*halves(spark, sf_dir), "account_id"), "shift", "severity")
 
 
-@query("dr05_composition", f"""WITH {HALVES}, sb AS (SELECT account_id, device_id, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY account_id) AS s FROM b GROUP BY ALL), sc AS (SELECT account_id, device_id, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY account_id) AS s FROM c GROUP BY ALL),
+@query("dr05_composition", f"""WITH {HALVES}, sb AS (SELECT account_id, device_id, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY account_id) AS s FROM b GROUP BY account_id, device_id), sc AS (SELECT account_id, device_id, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY account_id) AS s FROM c GROUP BY account_id, device_id),
 j AS (SELECT account_id, sb.s AS b, sc.s AS c FROM sb FULL JOIN sc USING (account_id, device_id)), k AS (SELECT account_id, count(CASE WHEN j.b IS NULL THEN 1 END) AS n_new, count(CASE WHEN j.c IS NULL THEN 1 END) AS n_removed, coalesce(sum(CASE WHEN j.b > 0 THEN pow(coalesce(j.c, 0.0) - j.b, 2) / j.b END), 0.0) AS chi_square FROM j GROUP BY 1)
 SELECT account_id, n_new, n_removed, round(chi_square, 6) AS chi_square, CASE WHEN n_new > 0 THEN 'COMPOSITION_NEW' WHEN n_removed > 0 THEN 'COMPOSITION_REMOVED' WHEN chi_square > 0.5 THEN 'BEHAVIORAL' ELSE 'NONE' END AS kind,
   round(CASE WHEN n_new > 0 THEN 0.7 WHEN n_removed > 0 THEN 0.5 WHEN chi_square > 0.5 THEN least(chi_square, 1.0) ELSE 0.0 END, 6) AS severity FROM k""")
