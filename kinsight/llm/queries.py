@@ -87,4 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kinsight.llm.oracles import ORACLES
+
+    return dict(ORACLES)
