@@ -31,11 +31,19 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Lets a finished query's shuffle files go at once instead of when the driver next collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends here, and so do its shuffle files."""
     spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
+    path, before = shared_dir(spark, what), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
