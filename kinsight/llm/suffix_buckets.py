@@ -47,10 +47,10 @@ PIECE = 1 << 20
 #: A run's place in one number: start, then bits of the text's checksum.
 TEXT_BITS = 24
 #: Bits of a run's number of windows, and of the marks of the bytes beside its anchor.
-RUN_BITS, SIDE_BITS = 10, 10
+RUN_BITS, SIDE_BITS = 10, 26
 #: Anchors with more than this share of a sample's runs are dealt out by run.
 HEAVY_SHARE = 2000
-RUNS = "anchor long, run long, doc long, place long, n int, known boolean"
+RUNS = "anchor long, run long, doc long, place long, n long, known boolean"
 #: Stands for a null doc_id; the ids themselves are kept beside it.
 NULL_DOC = -(1 << 63)
 
@@ -199,7 +199,7 @@ def combined(anchor, run, doc, place, n) -> pa.RecordBatch:
         head, total = gone, gone
     # stretches known to go need no partner: a key of their own spreads them
     own = mix(doc[head].astype(np.uint64) * K1 + place[head].astype(np.uint64))
-    columns = (np.concatenate([anchor[keep], own]).view(np.int64), np.concatenate([run[keep], own]).view(np.int64), np.concatenate([doc[keep], doc[head]]), np.concatenate([place[keep], place[head]]), np.concatenate([n[keep], total]).astype(np.int32), np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(head), bool)]))
+    columns = (np.concatenate([anchor[keep], own]).view(np.int64), np.concatenate([run[keep], own]).view(np.int64), np.concatenate([doc[keep], doc[head]]), np.concatenate([place[keep], place[head]]), np.concatenate([n[keep], total]).astype(np.int64), np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(head), bool)]))
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "run", "doc", "place", "n", "known"])
 
 
