@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from kinsight.llm import exact_topk, host_reputation
 from kinsight.llm.html_extract import extract_many, extract_pages, trained
 from kinsight.llm.page_layouts import Layouts
 from tests.llm.helpers import rows_of
+from tests.llm.test_text_operators import contaminated, linked, secrets
 
 Rule = host_reputation.Rule
 
@@ -83,16 +88,43 @@ def test_held_out_layouts(model):
     assert right >= 45
 
 
-def test_pipeline_and_registration(spark):
+def test_registration():
     import __spark_entry__ as entry
-    import corpus_pipeline
 
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
+
+
+def masked(text):
+    """Brute force: the stretches that secrets cover, replaced by the marker."""
+    spans = sorted(tuple(map(int, s.split(":")[1:])) for s in secrets(text))
+    out, at = [], 0
+    for start, end in spans:
+        if out and start <= at:
+            at = max(at, end)
+        else:
+            out += [text[at:start], "[SECRET]"]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline
+
     sf_dir = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    good = corpus_pipeline.quality(spark, docs, sf_dir)
-    assert good.columns == docs.columns and 0 < good.count() < docs.count()
-    done = corpus_pipeline.run(spark, sf_dir)
-    assert 0 < done.count() <= good.count() and done.select("doc_id").distinct().count() == done.count()
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    good = corpus_pipeline.quality(spark, frame, sf_dir)
+    assert good.columns == frame.columns and 0 < good.count() < frame.count()
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    stays = {d for d, n, c in linked(rows) if d == c}
+    rows = [(d, t) for d, t in rows if d in stays]
+    clean = {r[0] for r in contaminated(rows, items) if not r[-1]}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, t in rows:
+        if d in clean:
+            ids = np.array(library.encode(masked(t), add_special_tokens=False).ids, "<u4").tobytes()
+            want.append((d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(masked(t).encode()).hexdigest()))
+    assert rows_of(corpus_pipeline.run(spark, sf_dir), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
