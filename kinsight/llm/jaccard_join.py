@@ -27,7 +27,7 @@ pairs of copies are written out, and nothing is capped.
 
 Defined results: null and empty texts have the empty set and link with nothing;
 texts of fewer than `size` words have one shingle, the whole sequence; equal
-sets link; repeated rows each give a row; component ids ignore null ids; other
+sets are one node and link (nodes are told apart by a 62-bit hash); repeated rows each give a row; component ids ignore null ids; other
 columns of the input are ignored.
 """
 
@@ -62,7 +62,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SETS = "doc_id long, content long, n long, node long, f1 long, f2 long, sketch binary, elements binary, weak array<int>, slack array<int>"
+SETS = "doc_id long, content long, n long, node long, sketch binary, weak array<int>, slack array<int>"
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,76 +181,70 @@ def unpacked_elements(blob: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of batches (text in column 1): the part, its shingles, their text, the sets' sizes and nodes.
+
+    A set's node is a 62-bit hash of its elements, so equal sets are one node wherever they are.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            h, owner = shingles([(t or "").encode() for t in batch.column(1).to_pylist()], size)
+            n = np.bincount(owner, minlength=batch.num_rows)
+            sums = np.zeros(batch.num_rows, np.uint64)
+            np.add.at(sums, owner, mix(h * K1 + K3))
+            yield batch, h, owner, n, (mix(sums + n.astype(np.uint64) * K4) >> np.uint64(2)).astype(np.int64)
+
+
 def shingle_sets(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """A row per document (doc_id, text, content); the first of a batch's equal sets carries the set and is its node."""
+    """A row per document (doc_id, text, content) with its node; the first of a slice's equal sets carries the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, used = TaskContext.get().partitionId() << 33, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                h, owner = shingles([(t or "").encode() for t in batch.column(1).to_pylist()], size)
-                n = np.bincount(owner, minlength=batch.num_rows)
-                sums = np.zeros((2, batch.num_rows), np.uint64)
-                np.add.at(sums[0], owner, mix(h * K1 + K3))
-                np.add.at(sums[1], owner, mix(h * K4 + K2))
-                counts = np.zeros((batch.num_rows, SKETCH), np.int64)
-                np.add.at(counts, (owner, (h % np.uint64(SKETCH)).astype(np.int64)), 1)
-                sketch = np.minimum(counts, 65535).astype("<u2")
-                _, _, weak, slack = signatures(h, owner, n, similar) if len(h) else (0, 0, np.zeros((len(n), 2), int), np.zeros((len(n), 2), int))
-                stops = np.cumsum(n)
-                seen: dict[tuple[int, int, int], int] = {}
-                rows = []
-                for i in range(batch.num_rows):
-                    key = (int(n[i]), int(sums[0, i]), int(sums[1, i]))
-                    node, fresh = seen.get(key), False
-                    if node is None:
-                        node, fresh = base | used, True
-                        seen[key] = node
-                        used += 1
-                    full = fresh and n[i] > 0
-                    rows.append((node, sketch[i].tobytes() if full else None, packed_elements(h[stops[i] - n[i] : stops[i]]) if full else None, weak[i].tolist(), slack[i].tolist()))
-                node, sk, el, wk, sl = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sk, pa.binary()), pa.array(el, pa.binary()), pa.array(wk, pa.list_(pa.int32())), pa.array(sl, pa.list_(pa.int32()))],
-                    ["doc_id", "content", "n", "node", "f1", "f2", "sketch", "elements", "weak", "slack"],
-                )
+        for batch, h, owner, n, node in slices(batches, size):
+            counts = np.zeros((len(n), SKETCH), np.int64)
+            np.add.at(counts, (owner, (h % np.uint64(SKETCH)).astype(np.int64)), 1)
+            sketch = np.minimum(counts, 65535).astype("<u2")
+            none = np.zeros((len(n), 2), np.int32)
+            _, _, weak, slack = signatures(h, owner, n, similar) if len(h) else (none, none, none, none)
+            fresh = np.zeros(len(n), bool)
+            fresh[np.unique(node, return_index=True)[1]] = True
+            fresh &= n > 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node), pa.array([x.tobytes() if f else None for x, f in zip(sketch, fresh)], pa.binary()), pa.array(weak.tolist(), pa.list_(pa.int32())), pa.array(slack.tolist(), pa.list_(pa.int32()))],
+                ["doc_id", "content", "n", "node", "sketch", "weak", "slack"],
+            )
 
     return docs.mapInArrow(run, SETS)
 
 
-def grouped(sets: DataFrame, parts: int, similar: tuple[int, int]) -> DataFrame:
-    """signature, common, members (2 * node + role, packed) of signatures that several nodes share."""
-    source = sets.where("elements IS NOT NULL").select("node", "elements")
+def grouped(docs: DataFrame, parts: int, size: int, similar: tuple[int, int]) -> DataFrame:
+    """signature, common, members (2 * node + role, packed) of signatures that several nodes share. docs: doc_id, text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                each = [unpacked_elements(x) for x in batch.column(1).to_pylist()]
-                n = np.array([len(x) for x in each])
-                s, o, _, _ = signatures(np.concatenate(each), np.repeat(np.arange(len(n)), n), n, similar)
-                member = batch.column(0).to_numpy()[o // 2]
-                # nodes of a batch lie close together: the lowest and 32-bit distances
-                low = int(member.min()) if len(member) else 0
-                if len(member) and int(member.max()) - low >= 1 << 31:
-                    raise ValueError("nodes of one batch lie too far apart")
-                short = ((member - low) * 2 + o % 2).astype(np.uint32)
-                part = (s % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, low, (s[x] // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), short[x].tobytes()) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
-                if rows:
-                    p, low_, a, b = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(low_, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["part", "low", "signs", "members"])
+        for _, h, owner, n, node in slices(batches, size):
+            fresh = np.zeros(len(n), bool)
+            fresh[np.unique(node, return_index=True)[1]] = True
+            keep = fresh[owner]
+            if not keep.any():
+                continue
+            s, o, _, _ = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
+            member = node[fresh][o // 2] * 2 + o % 2
+            part = (s % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, (s[x] // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), member[x].tobytes()) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
+            if rows:
+                p, a, b = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["part", "signs", "members"])
 
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         signs = np.concatenate([_six(x) for x in frame["signs"]])
-        members = np.concatenate([np.frombuffer(b, np.uint32).astype(np.int64) + 2 * low for low, b in zip(frame["low"], frame["members"])])
+        members = np.frombuffer(b"".join(frame["members"]), np.int64)
         order = np.lexsort((members, signs))
         signs, members = signs[order], members[order]
+        # equal sets of different slices are one member
+        new = np.concatenate([[True], (signs[1:] != signs[:-1]) | (members[1:] != members[:-1])])
+        signs, members = signs[new], members[new]
         first = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
         size = np.diff(np.append(first, len(signs)))
         seen, rows = set(), []
@@ -262,7 +256,7 @@ def grouped(sets: DataFrame, parts: int, similar: tuple[int, int]) -> DataFrame:
                 rows.append(((int(signs[a]) * parts + int(key[0])) % (1 << 63), k > COMMON, blob))
         return pd.DataFrame(rows, columns=["signature", "common", "members"])
 
-    dealt = source.mapInArrow(sign, "part long, low long, signs binary, members binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, signs binary, members binary")
     return dealt.groupBy("part").applyInPandas(meet, "signature long, common boolean, members binary")
 
 
@@ -292,10 +286,9 @@ def differ_at_most(na: np.ndarray, nb: np.ndarray, similar: tuple[int, int]) ->
     return (na + nb) * (den - num) // (den + num)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs a, b of nodes whose sets reach the threshold: sketches first, then the sets."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs a, b of nodes whose sets reach the threshold: sketches first, then the sets, made from one text of each node."""
     num, den = similar
-    nodes = sets.where("elements IS NOT NULL")
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -304,6 +297,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
                 ok = np.abs(a - b).sum(axis=1) <= differ_at_most(f["a_n"].to_numpy(), f["b_n"].to_numpy(), similar)
                 yield f.loc[ok, ["a", "b"]]
 
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _, n, node in slices(batches, size):
+            stops = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([packed_elements(h[e - k : e]) for e, k in zip(stops, n)], pa.binary())], ["node", "elements"])
+
     def like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keep = []
@@ -312,16 +310,20 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(den * common >= num * (len(both) - common))
-            yield f.loc[keep, ["a", "b"]]
+            yield f.loc[np.array(keep, bool), ["a", "b"]]
 
-    def sides(columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        return tuple(nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("a", "b"))
+    def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        return tuple(table.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("a", "b"))
 
-    a, b = sides(["n", "sketch"])
+    a, b = sides(nodes, ["n", "sketch"])
     # the sizes alone rule out what one set can't make up
     sized = pairs.join(a, "a").join(b, "b").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
     close = written(sized.mapInPandas(near, "a long, b long"), "close-pairs")
-    a, b = sides(["elements"])
+    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
+    keys = ends.select(F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content"))
+    texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "text")
+    held = written(texts.mapInArrow(elements, "node long, elements binary"), "sets").dropDuplicates(["node"])
+    a, b = sides(held, ["elements"])
     return written(close.join(a, "a").join(b, "b").mapInPandas(like, "a long, b long"), "links")
 
 
@@ -373,31 +375,32 @@ def across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
 def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content (hash of the text), n (size of the set) and label (of the component) per document."""
-    sets = written(shingle_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content")), size, similar), "shingle-sets")
-    nodes = sets.where("elements IS NOT NULL")
-    alike = nodes.groupBy("n", "f1", "f2").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
-    equal = written(nodes.join(alike, ["n", "f1", "f2"]).select("a", F.col("node").alias("b")).where("a != b"), "equal-sets")
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = written(grouped(sets, max(48, -(-int(total) // PART_ROWS)), similar), "signature-groups")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
+    sets = written(shingle_sets(docs, size, similar), "shingle-sets")
+    # one row per different set, with the first document that has it
+    nodes = sets.where("sketch IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("weak").alias("weak"), F.min("slack").alias("slack"), F.min(F.struct("doc_id", "content")).alias("first"))
+    nodes = written(nodes, "nodes")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = written(grouped(docs, max(48, -(-int(total) // PART_ROWS)), size, similar), "signature-groups")
 
     often = members_of(groups.where("common"))
     # sets with more empty or common parts than the slack meet in common groups too
     commons = often.groupBy("member").agg(F.count("*").alias("commons"))
     role = (F.col("member") % 2).cast("int") + 1
-    full = commons.join(nodes.select("node", "weak", "slack"), F.floor(F.col("member") / 2) == F.col("node")).where(F.element_at("weak", role) + F.col("commons") > F.element_at("slack", role))
-    meeting = often.join(full.select("member"), "member").select("signature", F.floor(F.col("member") / 2).alias("node"))
-    seldom = members_of(groups.where("NOT common")).select("signature", F.floor(F.col("member") / 2).alias("node"))
+    full = commons.join(nodes.select("node", "weak", "slack"), F.shiftright("member", 1) == F.col("node")).where(F.element_at("weak", role) + F.col("commons") > F.element_at("slack", role))
+    meeting = often.join(full.select("member"), "member").select("signature", F.shiftright("member", 1).alias("node"))
+    seldom = members_of(groups.where("NOT common")).select("signature", F.shiftright("member", 1).alias("node"))
     met = written(seldom.unionByName(meeting), "members")
 
     heads = met.groupBy("signature").agg(F.min("node").alias("a"))
     stars = met.join(heads, "signature").where("a != node").select("a", F.col("node").alias("b")).distinct()
-    links = verified(stars, sets, similar).unionByName(equal)
+    links = verified(stars, nodes, docs, size, similar)
     labels = components(links)
 
     labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = labelled.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where("least != most AND size > 2").select("signature")
     rows = labelled.join(open_, "signature").join(nodes.select("node", "n", "sketch"), "node").select("signature", "node", "label", "n", "sketch")
-    more = verified(across(rows, similar).distinct(), sets, similar)
+    more = verified(across(rows, similar).distinct(), nodes, docs, size, similar)
     if more.take(1):
         labels = components(links.unionByName(more))
 
