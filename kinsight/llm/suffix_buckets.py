@@ -48,6 +48,8 @@ PIECE = 1 << 20
 TEXT_BITS = 24
 #: Bits of a run's number of windows, and of the marks of the bytes beside its anchor.
 RUN_BITS, SIDE_BITS = 10, 26
+#: One document in so many is sampled for frequent anchors.
+SAMPLE = 50
 #: Anchors with more than this share of a sample's runs are dealt out by run.
 HEAVY_SHARE = 2000
 RUNS = "anchor long, run long, doc long, place long, n long, known boolean"
@@ -260,7 +262,7 @@ def doc_of(id_col: str = "doc_id"):
 
 def marked(rows: DataFrame) -> DataFrame:
     """The rows with `goes`: a row of the same run starts earlier, or it was known to go."""
-    keys = [k for k in ("route", "anchor", "run") if k in rows.columns]
+    keys = [k for k in ("route", "side", "anchor", "run") if k in rows.columns]
     same = Window.partitionBy(*keys).orderBy("doc", "place")
     head = F.first(F.struct("doc", F.shiftright("place", TEXT_BITS).alias("start"))).over(same)
     later = (head["doc"] != F.col("doc")) | (head["start"] != F.shiftright("place", TEXT_BITS))
@@ -270,20 +272,28 @@ def marked(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, depth: int = 100) -> DataFrame:
     """doc, place, n of windows that start elsewhere earlier. docs: doc, text."""
     runs = anchored_runs(docs, depth)
-    sample = anchored_runs(docs.where(F.pmod(F.xxhash64("doc"), F.lit(50)) == 0), depth).where("NOT known")
-    counted = written(sample.groupBy("anchor").count().where("count > 1"), "anchor-sample")
-    least = (counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]) / HEAVY_SHARE + 2
-    # fewer than HEAVY_SHARE anchors can exceed that share
-    heavy = counted.where(F.col("count") > least).select("anchor", F.lit(True).alias("heavy"))
-    # a frequent anchor's runs go by run, the others by anchor, so that runs of one anchor meet
-    route = F.when(F.col("heavy"), F.xxhash64("anchor", "run")).otherwise(F.col("anchor"))
-    routed = runs.join(F.broadcast(heavy), "anchor", "left").withColumn("route", route).repartition("route")
+    sides = {"left": F.shiftright("n", RUN_BITS) % (1 << SIDE_BITS), "right": F.shiftright("n", RUN_BITS + SIDE_BITS)}
+    sample = anchored_runs(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0), depth).where("NOT known").withColumns(sides)
+    # what is frequent in the sample: anchors (no side), and anchors with the bytes on one side
+    levels = F.array(F.struct(F.lit("").alias("side"), F.lit(0).cast("long").alias("mark")), *[F.struct(F.lit(x).alias("side"), F.col(x).alias("mark")) for x in sides])
+    counted = sample.select("anchor", F.explode(levels).alias("l")).groupBy("anchor", "l.side", "l.mark").count().where("count > 1")
+    counted = written(counted, "anchor-sample")
+    least = counted.agg(F.coalesce(F.sum(F.when(F.col("side") == "", F.col("count"))), F.lit(0))).first()[0] / HEAVY_SHARE + 2
+    # fewer than HEAVY_SHARE of each kind can exceed that share
+    heavy = counted.where(F.col("count") > least)
+    anchors = heavy.where("side = ''").select("anchor", F.lit(True).alias("heavy"))
+    marks = heavy.where("side <> ''").select("anchor", "side", "mark", F.lit(True).alias("hot"))
+    # a frequent anchor's runs go by the bytes on either side, in two copies; where those are frequent too, by run
+    side = F.explode(F.when(F.col("heavy"), F.array(F.lit("left"), F.lit("right"))).otherwise(F.array(F.lit("both"))))
+    routed = runs.withColumns(sides).join(F.broadcast(anchors), "anchor", "left").withColumn("side", side)
+    routed = routed.withColumn("mark", F.when(F.col("side") == "left", F.col("left")).when(F.col("side") == "right", F.col("right")).otherwise(0)).join(F.broadcast(marks), ["anchor", "side", "mark"], "left")
+    route = F.when(F.col("hot"), F.xxhash64("anchor", "side", "run")).when(F.col("heavy"), F.xxhash64("anchor", "side", "mark")).otherwise(F.col("anchor"))
+    routed = routed.withColumn("route", route).repartition("route")
     # two windows alike around one anchor share at least the bytes on one side of it, up to half of what is left of the depth
-    routed = routed.withColumns({"left": F.shiftright("n", RUN_BITS) % (1 << SIDE_BITS), "right": F.shiftright("n", RUN_BITS + SIDE_BITS)})
-    differ = F.coalesce("heavy", F.lit(False))
-    for side in ("left", "right"):
-        alike = Window.partitionBy("route", side)
-        differ = differ | (F.min("run").over(alike) != F.max("run").over(alike))
+    differ = F.coalesce("hot", F.lit(False))
+    for x in sides:
+        alike = Window.partitionBy("route", "side", x)
+        differ = differ | ((F.col("side") != ("right" if x == "left" else "left")) & (F.min("run").over(alike) != F.max("run").over(alike)))
     windows = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") % (1 << RUN_BITS)).alias("n")
     decided = marked(routed).withColumn("open", ~F.col("goes") & differ)
     decided = written(decided.where("goes OR open").select("doc", "place", windows, "goes"), "repeated-runs")

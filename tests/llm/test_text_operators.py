@@ -91,7 +91,11 @@ def removed(rows, depth=100):
     return sorted(out, key=repr)
 
 
-def test_repeats_removed(spark):
+@pytest.mark.parametrize("frequent", [False, True])
+def test_repeats_removed(spark, monkeypatch, frequent):
+    if frequent:  # nearly every shared anchor counts as frequent
+        monkeypatch.setattr(sb, "SAMPLE", 1)
+        monkeypatch.setattr(sb, "HEAVY_SHARE", 10**9)
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(2, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
