@@ -183,9 +183,9 @@ def event_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.join(made, KEYS, "left").select("event_id", "session_id", F.coalesce(F.nullif("channel", F.lit("")), F.lit("Direct")).alias("channel"), kind.alias("event_class"))
 
 
-@query("u02_genre_overlap", f"""WITH {BASE}, g AS (SELECT DISTINCT account_id, genre FROM genres), p AS (SELECT a.account_id AS a, b.account_id AS b, count(*) AS shared FROM g a JOIN g b ON a.genre = b.genre AND a.account_id < b.account_id WHERE a.account_id LIKE '1%' AND b.account_id LIKE '1%' GROUP BY ALL) SELECT * FROM p""")
+@query("u02_genre_overlap", f"""WITH {BASE}, g AS (SELECT DISTINCT account_id, genre FROM genres), p AS (SELECT a.account_id AS a, b.account_id AS b, count(*) AS shared FROM g a JOIN g b ON a.genre = b.genre AND a.account_id < b.account_id GROUP BY ALL) SELECT * FROM p""")
 def genre_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = both(spark, sf_dir)[1].where(F.col("account_id").startswith("1")).select("account_id", "genre").distinct()
+    g = both(spark, sf_dir)[1].select("account_id", "genre").distinct()
     a, b = g.select(F.col("account_id").alias("a"), "genre"), g.select(F.col("account_id").alias("b"), "genre")
     return a.join(b, "genre").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
