@@ -34,6 +34,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -122,10 +123,29 @@ def parameters(end: int, similar: tuple[int, int]) -> tuple[int, int]:
     return k + 1 + slack, slack
 
 
+@cache
+def small_slack(similar: tuple[int, int]) -> np.ndarray:
+    """Slack of the small sets by size.
+
+    Similar sets of m <= n elements share at least `both`, so by the smaller one's
+    prefix they agree in slack[m] + both - overlap(m) + 1 signatures. That must
+    exceed the larger one's slack too: else it may leave out what they share.
+    """
+    num, den = similar
+    slack = np.zeros(SMALL + 1, np.int64)
+    for n in range(1, SMALL + 1):
+        slack[n] = min(n // 4 + 1, -(-n * num // den) - 1)
+        for m in range(-(-n * num // den), n):
+            both = -(-(m + n) * num // (num + den))
+            if both <= m:
+                slack[n] = min(slack[n], slack[m] + both + (-m * num // den))
+    return slack
+
+
 def small_prefix(n: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """How many first elements sign a small set, and how many of them are slack."""
     overlap = -(-n * similar[0] // similar[1])
-    slack = np.minimum(n // 4 + 1, np.maximum(overlap - 1, 0))
+    slack = small_slack(similar)[np.minimum(n, SMALL)]
     return n - overlap + 1 + slack, slack
 
 
