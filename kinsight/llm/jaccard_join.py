@@ -53,8 +53,8 @@ COMMON = 64
 SKETCH = 128
 #: Signatures that one task groups at a time.
 PART_ROWS = 1_000_000
-#: Bytes of text hashed at once, and bytes kept of an element's hash.
-PIECE, KEPT = 1 << 20, 6
+#: Bytes of text hashed at once.
+PIECE = 1 << 20
 #: Documents worked on at once.
 SLICE = 400
 
@@ -99,7 +99,6 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
         has = counts[short] > k
         extra[has] = mix(extra[has] * K4 + words[first[short[has]] + k] + np.uint64(k + 1))
     h, o = np.concatenate([whole[keep], extra]), np.concatenate([owner[: len(whole)][keep], short])
-    h &= np.uint64((1 << 8 * KEPT) - 1)
     order = np.lexsort((h, o))
     h, o = h[order], o[order]
     new = np.ones(len(h), bool)
@@ -192,13 +191,11 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: np.ndarray, similar: tuple[i
 
 
 def packed_elements(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+    return h.astype("<u8").tobytes()
 
 
 def unpacked_elements(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // KEPT, 8), np.uint8)
-    raw[:, :KEPT] = np.frombuffer(blob, np.uint8).reshape(-1, KEPT)
-    return raw.view("<u8").ravel()
+    return np.frombuffer(blob, "<u8")
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

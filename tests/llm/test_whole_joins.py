@@ -37,3 +37,10 @@ def test_short_texts_with_a_common_opening(spark):
     got = rows_of(jj.similar_components(docs(spark, rows)), "doc_id", "n_shingles", "component_id")
     assert got == linked(rows)
     assert len({c for *_, c in got}) == 100
+
+
+def test_elements_are_told_apart_by_64_bits():
+    h, owner = jj.shingles([f"short text {i}".encode() for i in range(1000)], 5)
+    assert len(h) == 1000 and (owner == np.arange(1000)).all()
+    assert all(300 < (h >> np.uint64(b) & np.uint64(1)).sum() < 700 for b in range(64))
+    assert (jj.unpacked_elements(jj.packed_elements(h)) == h).all()
