@@ -60,8 +60,7 @@ def household_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g01_mixtures")
 def mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = vectors(spark, sf_dir).withColumn("features", F.slice("features", 1, 4))
-    return c.mixtures(made, "true_person", "session_id")
+    return c.mixtures(vectors(spark, sf_dir), "true_person", "session_id")
 
 
 @query("i03_online_replay")

@@ -6,6 +6,8 @@ import datetime as dt
 import itertools
 import json
 
+import numpy as np
+
 from kinsight.plans import catalogue
 from kinsight.vocabulary import GENRES
 
@@ -19,3 +21,14 @@ def test_genre_overlap_of_all_accounts(spark, tmp_path):
     want = {(a, b): len(genres[a] & genres[b]) for a, b in itertools.combinations(sorted(genres), 2) if genres[a] & genres[b]}
     got = {(r.a, r.b): r.shared for r in catalogue.queries()["u02_genre_overlap"](spark, str(tmp_path)).collect()}
     assert got == want and ("2", "25") in got
+
+
+def test_mixtures_of_whole_vectors(spark, tmp_path):
+    """The first four components are alike; two groups differ in the other sixty."""
+    r = np.random.default_rng(3)
+    x = r.normal(0, 0.05, (60, 64)).astype("float32")
+    x[30:, 4:] += 5
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = sorted(catalogue.queries()["g01_mixtures"](spark, str(tmp_path)).collect(), key=lambda r: r.session_id)
+    found = [r.component for r in rows]
+    assert len(set(found)) == 2 and len(set(found[:30])) == 1 == len(set(found[30:]))
