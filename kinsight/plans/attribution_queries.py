@@ -111,15 +111,15 @@ def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q03_bootstrap_intervals")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return u.intervals(u.bootstrap(journey_steps(spark, sf_dir), 50))
+    return u.intervals(u.bootstrap(journey_steps(spark, sf_dir)))
 
 
 @query("q04_dirichlet_intervals")
 def dirichlet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return u.intervals(u.dirichlet(journey_steps(spark, sf_dir), 50))
+    return u.intervals(u.dirichlet(journey_steps(spark, sf_dir)))
 
 
 @query("q05_wider_source")
 def wider(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = journey_steps(spark, sf_dir)
-    return u.wider_source(u.bootstrap(steps, 30), u.dirichlet(steps, 30))
+    return u.wider_source(u.bootstrap(steps), u.dirichlet(steps))

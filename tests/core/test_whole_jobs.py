@@ -7,8 +7,11 @@ import itertools
 import json
 
 import numpy as np
+import pytest
 
+from kinsight.operators import uncertainty as u
 from kinsight.plans import catalogue
+from kinsight.sources.views import journey_steps
 from kinsight.vocabulary import GENRES
 
 
@@ -32,3 +35,17 @@ def test_mixtures_of_whole_vectors(spark, tmp_path):
     rows = sorted(catalogue.queries()["g01_mixtures"](spark, str(tmp_path)).collect(), key=lambda r: r.session_id)
     found = [r.component for r in rows]
     assert len(set(found)) == 2 and len(set(found[:30])) == 1 == len(set(found[30:]))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["q03_bootstrap_intervals", "q04_dirichlet_intervals"])
+def test_intervals_of_100_samples(spark, name):
+    assert {r.n for r in catalogue.queries()[name](spark, SF).collect()} == {100}
+
+
+def test_wider_source_of_100_samples(spark):
+    steps = journey_steps(spark, SF)
+    want = {tuple(r) for r in u.wider_source(u.bootstrap(steps, 100), u.dirichlet(steps, 100)).collect()}
+    assert {tuple(r) for r in catalogue.queries()["q05_wider_source"](spark, SF).collect()} == want
