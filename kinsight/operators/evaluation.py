@@ -1,4 +1,4 @@
-"""Calibration, accuracy, lift, fairness and feedback metrics, as aggregates."""
+"""Calibration, accuracy, fairness and feedback metrics, as aggregates."""
 
 from __future__ import annotations
 
