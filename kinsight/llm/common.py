@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +23,13 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder that all executors see.
 
-    The setting is read from the session. Where it is unset (tests, a laptop) a
-    folder in the warehouse is set once, never a machine-local temporary one.
+    The setting is read from the session. Where it is unset, a local session
+    (tests, a laptop) uses a folder in its warehouse; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -35,10 +38,9 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, and so do its shuffle files."""
-    spark = df.sparkSession
-    path, before = shared_dir(spark, what), spark.conf.get(CLEAN_UP, "false")
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet and read it back: lineage ends here, and so do its shuffle files."""
+    spark, before = df.sparkSession, df.sparkSession.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
@@ -47,6 +49,40 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df by way of a table in the shared folder, which stays."""
+    return write(df, shared_dir(df.sparkSession, what))
+
+
+class Scratch:
+    """Tables in the shared folder that go when the block ends, but for its results."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = shared_dir(self.spark, what)
+        out = write(df, path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that nothing reads any more."""
+        path, _ = self.paths.pop(id(df))
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        return written(df, what)
+
+    def __exit__(self, *error) -> None:
+        for _, df in list(self.paths.values()):
+            self.drop(df)
+
+
 #: A key is heavy above this share of the rows, which bounds the number of heavy keys by its inverse.
 HEAVY_SHARE = 1000
 

@@ -3,31 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kinsight.llm.common import written
+from kinsight.llm.common import Scratch
+from kinsight.operators import linking
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of every node that has an edge. edges: a, b.
-
-    Each round hooks every node to its smallest neighbour and contracts the
-    edges, which shrink; the rounds' maps are then composed. Each round's tables
-    are written, so lineage stays short.
-    """
-    maps = []
-    left = written(edges.where("a != b").select("a", "b").distinct(), "edges")
-    while left.take(1):
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
-        maps.append(hooked)
-        of_a, of_b = (hooked.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
-        moved = left.join(of_a, "a").join(of_b, "b").where("label_a != label_b")
-        left = written(moved.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "edges")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    total = maps[0]
-    for later in maps[1:]:
-        onwards = later.select(F.col("node").alias("label"), F.col("label").alias("onwards"))
-        total = total.join(onwards, "label", "left").select("node", F.coalesce("onwards", "label").alias("label"))
-    return written(total, "components")
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
+    """node, label (the smallest node reachable) of every node that has an edge. edges: a, b."""
+    linking.prepare_checkpoints(edges.sparkSession)
+    return keep.written(linking.components(edges).withColumnRenamed("component", "label"), "components")

@@ -1,33 +1,38 @@
 """Operator 9: n-gram Jaccard join with PartEnum signatures.
 
-A document's set is its distinct word shingles, as 64-bit hashes. For a band of
-set sizes, two sets whose similarity reaches the threshold differ in at most k
-elements; the feature domain is partitioned into k + 1 + slack parts, so at
-least 1 + slack parts of such a pair agree entirely. A signature is the content
-of one part together with the band and the part's number; enumerating the parts
-gives each set some signatures, of which a similar pair shares one. (The subsets
-enumerated are single parts: with more parts per subset the signatures of long
-texts would outgrow the disk.) Sets are signed for their own band and for the
-next, as the smaller of a pair. Up to SMALL elements the partition is taken so
-fine that a part holds one element, of which the first few in hash order suffice.
-
-The slack pays for parts that say nothing. A set whose empty parts are at most
-slack leaves them out, and no pair is lost: it would need more than slack
-agreeing parts that are all empty. Likewise a signature that many sets share is
-left out for a set with at most slack empty or shared parts; only sets with more
-(mostly members of large groups of copies) meet in those groups.
-
-Sets in a group are first compared with the group's first set alone. Links
-found make components; then, in groups that still hold several components,
-sets of different components are compared by sketches (counts of elements in a
-few buckets, whose distance never exceeds the sets' difference) and what
-survives is verified on the sets themselves. So every pair that shares a
-signature is linked, lies in one component already, or is proven dissimilar; no
-pairs of copies are written out, and nothing is capped.
+A document's set is its distinct word shingles, as 64-bit hashes; equal sets are
+one node. Sizes fall into bands whose ends grow by the square of 1/threshold, so a
+similar pair lies in one band or in two that touch. Each band, and each border
+between two, is an instance of its own with a bound H on the elements in which a
+similar pair differs. The feature domain is partitioned into groups of three
+parts, and from each group the subsets of two parts are enumerated: the content
+of a subset, with its group and instance, is a signature. A pair that differs in
+h elements has at most h // 2 groups with two differences, so of h // 2 + 1 + S
+groups at least 1 + S give it a common signature. Of an instance's groups a set
+signs the first so many as its own largest h demands; the smaller set of a pair
+signs the fewer.
+
+S pays for groups that say nothing. A group is weak for a set if one of its
+subsets is empty or its signature is shared by more than COMMON sets that are not
+yet linked with each other. A pair whose common signatures are all weak has more
+than S weak groups on both sides. Every other pair meets in 1 + S less the weak
+groups of either side signatures at least, which is asked of candidates. Sets
+with more than S weak groups, the remainder, are joined among themselves by
+prefixes of their rarest elements, which is exact as well. So no pair is lost at
+any size of set or group, and nothing is capped.
+
+Candidates are first each node and the one of its groups' first nodes with which
+it shares most signatures; the links found make components. Then, in groups that
+still hold several components, pairs of different components are counted. All
+candidates pass sizes, sketches (counts of elements in a few buckets, whose
+distance never exceeds the sets' difference) and last the sets themselves.
 
 Defined results: null and empty texts have the empty set and link with nothing;
-texts of fewer than `size` words have one shingle, the whole sequence; equal
-sets are one node and link (nodes are told apart by a 62-bit hash); repeated rows each give a row; component ids ignore null ids; other
+texts of fewer than `size` words have one shingle, the whole sequence; texts of
+any length are read whole, and a task's memory grows with its longest one; equal
+sets are one node and link (nodes are told apart by a 64-bit hash); a similarity
+equal to the threshold links; repeated rows each give a row; component ids ignore
+null ids unless a component has no other; an empty table gives no row; other
 columns of the input are ignored.
 """
 
@@ -37,33 +42,40 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import join_spread, written
+from kinsight.llm.common import Scratch, join_spread
 from kinsight.llm.components import components
 from kinsight.llm.suffix_buckets import K1, K2, K3, K4, TABLE, Powers, mix
 
-SMALL = 64
+#: Parts of a group, of which all subsets but one part are enumerated.
+PARTS = 3
+#: S as a share of the groups that the largest h demands.
+SPARE = (3, 10)
 #: Sets that may share a signature before it counts as a common one.
 COMMON = 64
-#: Buckets of a sketch.
-SKETCH = 128
 #: Signatures that one task groups at a time.
-PART_ROWS = 1_000_000
-#: Bytes of text hashed at once.
-PIECE = 1 << 20
-#: Documents worked on at once.
-SLICE = 400
+TASK_SIGNATURES = 1_000_000
+#: Rows that are sent to all executors at most; more are met by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Rows of a common element's group that are compared with each other at a time.
+BLOCK_ROWS = 1024
+#: Bytes of text hashed at once, and documents and bytes signed at once.
+PIECE, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2000, 1 << 23
+#: The least buckets of a sketch.
+SKETCH = 128
+#: Bits of a signature that travel; a clash costs a comparison.
+SIGN_BITS = 30
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SETS = "doc_id long, content long, n long, node long, sketch binary, weak array<int>, slack array<int>"
+SETS = "doc_id long, content long, n long, node long, sketch binary, spare array<int>"
+LISTS = "list long, low array<long>, high array<long>, between boolean, times long"
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,323 +118,350 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], o[new]
 
 
-def bands(most: int, similar: tuple[int, int]) -> np.ndarray:
-    """Upper ends of the bands of sizes, the first being SMALL."""
-    ends = [SMALL]
-    while ends[-1] < most * similar[1] // similar[0] + 1:
-        ends.append(max(ends[-1] * similar[1] // similar[0], ends[-1] + 1))
-    return np.array(ends)
+def difference(total, similar: tuple[int, int]):
+    """The elements in which similar sets of `total` elements together can differ at most."""
+    return total * (similar[1] - similar[0]) // (similar[1] + similar[0])
 
 
-def parameters(end: int, similar: tuple[int, int]) -> tuple[int, int]:
-    """Number of parts and slack of the band that ends there."""
-    num, den = similar
-    k = 2 * end * (den - num) // (den + num)
-    slack = -(-4 * (k + 1) // 10)
-    return k + 1 + slack, slack
+def largest(n, similar: tuple[int, int]):
+    """The size of the largest set that is similar to one of n elements."""
+    return n * similar[1] // similar[0]
 
 
 @cache
-def small_slack(similar: tuple[int, int]) -> np.ndarray:
-    """Slack of the small sets by size.
+def band_ends(similar: tuple[int, int]) -> np.ndarray:
+    """First sizes of the bands: the square of 1/threshold apart, so similar sets are at most one band apart."""
+    ends = [1]
+    while ends[-1] < 1 << 36:
+        ends.append(max(ends[-1] * similar[1] ** 2 // similar[0] ** 2, ends[-1] + 1))
+    return np.array(ends)
 
-    Similar sets of m <= n elements share at least `both`, so by the smaller one's
-    prefix they agree in slack[m] + both - overlap(m) + 1 signatures. That must
-    exceed the larger one's slack too: else it may leave out what they share.
-    """
-    num, den = similar
-    slack = np.zeros(SMALL + 1, np.int64)
-    for n in range(1, SMALL + 1):
-        slack[n] = min(n // 4 + 1, -(-n * num // den) - 1)
-        for m in range(-(-n * num // den), n):
-            both = -(-(m + n) * num // (num + den))
-            if both <= m:
-                slack[n] = min(slack[n], slack[m] + both + (-m * num // den))
-    return slack
 
+def instances(n: np.ndarray, similar: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Role, instance, groups of the domain, groups that the set signs (0: none), and S, for sets of n elements.
 
-def small_prefix(n: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """How many first elements sign a small set, and how many of them are slack."""
-    overlap = -(-n * similar[0] // similar[1])
-    slack = small_slack(similar)[np.minimum(n, SMALL)]
-    return n - overlap + 1 + slack, slack
+    Role 0: within the set's band; 1: the set is the smaller of a pair over the
+    band's upper end; 2: it is the larger of a pair over the band's lower end.
+    """
+    ends = band_ends(similar)
+    band = np.searchsorted(ends, n, "right")
+    low, high = ends[np.maximum(band - 1, 0)], ends[band]
+    for role in range(3):
+        if role == 0:
+            instance, takes_part = 2 * band, n > 0
+            most, own = difference(2 * (high - 1), similar), difference(n + np.minimum(largest(n, similar), high - 1), similar)
+        elif role == 1:
+            instance, takes_part = 2 * band + 1, largest(n, similar) >= high
+            most, own = difference(high - 1 + largest(high - 1, similar), similar), difference(n + largest(n, similar), similar)
+        else:
+            instance, takes_part = 2 * band - 1, (band > 1) & (largest(low - 1, similar) >= n)
+            most = own = difference(low - 1 + largest(low - 1, similar), similar)
+        needed = most // 2 + 1
+        spare = -(-needed * SPARE[0] // SPARE[1]) + 1
+        # sets that can't differ are equal, and one node
+        yield role, instance, needed + spare, np.where(takes_part & (n > 0) & (most > 0), own // 2 + 1 + spare, 0), spare
 
 
 def signatures(h: np.ndarray, owner: np.ndarray, n: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of the sets and their set with role (2 * set + role); per set and role the empty parts and the slack.
-
-    Role 0: own band, role 1: the next band, as the smaller set of a pair.
-    """
-    ends = bands(int(n.max(initial=1)), similar)
-    own = np.searchsorted(ends, n)
-    upper = np.searchsorted(ends, n * similar[1] // similar[0])
-    weak, slack = np.zeros((len(n), 2), np.int32), np.zeros((len(n), 2), np.int32)
-    starts = np.cumsum(n) - n
-    mixed = mix(h * K1 + K2)
-    out_s, out_o = [], []
-    # small sets: their first elements in order of hash
-    small = own == 0
-    length, extra = small_prefix(n, similar)
-    slack[small, 0] = extra[small]
-    rank = np.arange(len(h)) - starts[owner]
-    take = small[owner] & (rank < length[owner])
-    out_s.append(mixed[take])
-    out_o.append(owner[take] * 2)
-    for role, band in ((0, own), (1, upper)):
-        chosen = np.flatnonzero((band > 0) & ((role == 0) | (upper != own)) & (n > 0))
-        for j in np.unique(band[chosen]):
-            parts, spare = parameters(int(ends[j]), similar)
-            sets = chosen[band[chosen] == j]
-            place = np.full(len(n), -1)
-            place[sets] = np.arange(len(sets))
-            mine = place[owner] >= 0
-            part = (mix(h[mine] * K3 + np.uint64(j)) % np.uint64(parts)).astype(np.int64)
-            cell = place[owner[mine]] * parts + part
-            content, filled = np.zeros(len(sets) * parts, np.uint64), np.zeros(len(sets) * parts, bool)
-            np.add.at(content, cell, mixed[mine])
-            filled[cell] = True
-            empty = parts - filled.reshape(len(sets), parts).sum(axis=1)
-            weak[sets, role], slack[sets, role] = empty, spare
-            emit = (filled.reshape(len(sets), parts) | (empty > spare)[:, None]).ravel()
-            at = np.flatnonzero(emit)
-            out_s.append(mix(content[at] * K2 + (at % parts).astype(np.uint64) * K3 + np.uint64(j + 1)))
-            out_o.append(sets[at // parts] * 2 + role)
-    return np.concatenate(out_s), np.concatenate(out_o), weak, slack
-
-
-def packed_elements(h: np.ndarray) -> bytes:
-    return h.astype("<u8").tobytes()
-
-
-def unpacked_elements(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u8")
+    """Signatures of the sets, their set and role; and per set and role the S that empty subsets leave (null roles: a large number)."""
+    spare = np.full((len(n), 3), 1 << 20, np.int32)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    mixed, u = mix(h * K1 + K2), np.uint64
+    for role, instance, domain, signed, s in instances(n, similar):
+        base = np.cumsum(signed) - signed
+        place = mix(h * K3 + instance[owner].astype(u) * K2)
+        group = ((place >> u(32)) % np.maximum(domain, 1)[owner].astype(u)).astype(np.int64)
+        mine = group < signed[owner]
+        cell = ((base[owner] + group) * PARTS + (place & u(0xFFFFFFFF)).astype(np.int64) % PARTS)[mine]
+        content = np.zeros(int(signed.sum()) * PARTS, u)
+        np.add.at(content, cell, mixed[mine])
+        content = content.reshape(-1, PARTS)
+        named = np.where(content == 0, u(0), mix(content * K4 + np.arange(1, PARTS + 1, dtype=u) * K1))
+        whole = named.sum(axis=1)
+        sets = np.repeat(np.arange(len(n)), signed)
+        where = mix(instance[sets].astype(u) * K3 + (np.arange(len(sets)) - base[sets]).astype(u) * u(PARTS + 1))
+        weak = np.zeros(len(sets), bool)
+        for left_out in range(PARTS):
+            subset = whole - named[:, left_out]
+            filled = subset != 0
+            weak |= ~filled
+            found.append((mix(subset * K2 + where + u(left_out))[filled], sets[filled], np.full(int(filled.sum()), role)))
+        takes_part = signed > 0
+        spare[takes_part, role] = (s - np.bincount(sets, weak, minlength=len(n)).astype(np.int64))[takes_part]
+    return *(np.concatenate(x) for x in zip(*found)), spare
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of batches (text in column 1): the part, its shingles, their text, the sets' sizes and nodes.
 
-    A set's node is a 62-bit hash of its elements, so equal sets are one node wherever they are.
+    A set's node is a 64-bit hash of its elements, so equal sets are one node wherever they are.
     """
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            h, owner = shingles([(t or "").encode() for t in batch.column(1).to_pylist()], size)
-            n = np.bincount(owner, minlength=batch.num_rows)
-            sums = np.zeros(batch.num_rows, np.uint64)
+        texts = [(t or "").encode() for t in whole.column(1).to_pylist()]
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and end - at < SLICE_DOCS and (end == at or held + len(texts[end]) <= SLICE_BYTES):
+                held, end = held + len(texts[end]), end + 1
+            h, owner = shingles(texts[at:end], size)
+            n = np.bincount(owner, minlength=end - at)
+            sums = np.zeros(end - at, np.uint64)
             np.add.at(sums, owner, mix(h * K1 + K3))
-            yield batch, h, owner, n, (mix(sums + n.astype(np.uint64) * K4) >> np.uint64(2)).astype(np.int64)
+            yield whole.slice(at, end - at), h, owner, n, mix(sums + n.astype(np.uint64) * K4).view(np.int64)
+            at = end
+
+
+def first_of_each(node: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Marks the first of a slice's equal sets; empty sets are left out."""
+    fresh = np.zeros(len(node), bool)
+    fresh[np.unique(node, return_index=True)[1]] = True
+    return fresh & (n > 0)
+
+
+def sketch_of(h: np.ndarray) -> bytes:
+    """Counts of elements by bucket; about a quarter as many buckets as elements, a power of two of them."""
+    buckets = max(SKETCH, 1 << int(len(h) - 1).bit_length() >> 2)
+    return np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Never more than the number of elements in which the sets differ."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int32) for s in (a, b))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x.reshape(2, -1).sum(axis=0)
+        else:
+            y = y.reshape(2, -1).sum(axis=0)
+    return int(np.abs(x - y).sum())
 
 
 def shingle_sets(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """A row per document (doc_id, text, content) with its node; the first of a slice's equal sets carries the sketch."""
+    """A row per document (doc_id, text, content) with its node; the first of a slice's equal sets carries sketch and spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, h, owner, n, node in slices(batches, size):
-            counts = np.zeros((len(n), SKETCH), np.int64)
-            np.add.at(counts, (owner, (h % np.uint64(SKETCH)).astype(np.int64)), 1)
-            sketch = np.minimum(counts, 65535).astype("<u2")
-            none = np.zeros((len(n), 2), np.int32)
-            _, _, weak, slack = signatures(h, owner, n, similar) if len(h) else (none, none, none, none)
-            fresh = np.zeros(len(n), bool)
-            fresh[np.unique(node, return_index=True)[1]] = True
-            fresh &= n > 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node), pa.array([x.tobytes() if f else None for x, f in zip(sketch, fresh)], pa.binary()), pa.array(weak.tolist(), pa.list_(pa.int32())), pa.array(slack.tolist(), pa.list_(pa.int32()))],
-                ["doc_id", "content", "n", "node", "sketch", "weak", "slack"],
-            )
+            fresh = first_of_each(node, n)
+            stops = np.cumsum(n)
+            keep = fresh[owner]
+            *_, spare = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
+            spares, sketches = iter(spare.tolist()), []
+            for f, stop, k in zip(fresh.tolist(), stops.tolist(), n.tolist()):
+                sketches.append(sketch_of(h[stop - k : stop]) if f else None)
+            arrays = [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node), pa.array(sketches, pa.binary()), pa.array([next(spares) if f else None for f in fresh.tolist()], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "content", "n", "node", "sketch", "spare"])
 
     return docs.mapInArrow(run, SETS)
 
 
-def grouped(docs: DataFrame, parts: int, size: int, similar: tuple[int, int]) -> DataFrame:
-    """signature, common, members (2 * node + role, packed) of signatures that several nodes share. docs: doc_id, text."""
+def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int, int]) -> DataFrame:
+    """The lists of nodes that share a signature, each with the number of signatures (`times`) that a task found it for.
+
+    low: the nodes of a band, or the smaller sets over a border; high: the larger
+    ones there (`between`). docs: doc_id, text.
+    """
+    u = np.uint64
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, owner, n, node in slices(batches, size):
-            fresh = np.zeros(len(n), bool)
-            fresh[np.unique(node, return_index=True)[1]] = True
+            fresh = first_of_each(node, n)
             keep = fresh[owner]
             if not keep.any():
                 continue
-            s, o, _, _ = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
-            member = node[fresh][o // 2] * 2 + o % 2
-            part = (s % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, (s[x] // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), member[x].tobytes()) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
-            if rows:
-                p, a, b = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["part", "signs", "members"])
-
-    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        signs = np.concatenate([_six(x) for x in frame["signs"]])
-        members = np.frombuffer(b"".join(frame["members"]), np.int64)
-        order = np.lexsort((members, signs))
-        signs, members = signs[order], members[order]
-        # equal sets of different slices are one member
-        new = np.concatenate([[True], (signs[1:] != signs[:-1]) | (members[1:] != members[:-1])])
-        signs, members = signs[new], members[new]
-        first = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
-        size = np.diff(np.append(first, len(signs)))
-        seen, rows = set(), []
-        for a, k in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            blob = members[a : a + k].tobytes()
-            # of equal groups one is enough, but common signatures are counted one by one
-            if k > COMMON or blob not in seen:
-                seen.add(blob)
-                rows.append(((int(signs[a]) * parts + int(key[0])) % (1 << 63), k > COMMON, blob))
-        return pd.DataFrame(rows, columns=["signature", "common", "members"])
-
-    dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, signs binary, members binary")
-    return dealt.groupBy("part").applyInPandas(meet, "signature long, common boolean, members binary")
-
-
-def _six(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
-
-
-def members_of(groups: DataFrame) -> DataFrame:
-    """signature, common, member, one row each."""
+            names = node[fresh]
+            s, sets, role, _ = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
+            part = (s % u(parts)).astype(np.int64)
+            order = np.argsort(part * len(names) + sets, kind="stable")
+            entries = (((s // u(parts)) & u((1 << SIGN_BITS) - 1)) << u(2) | role.astype(u)).astype("<u4")[order]
+            part, sets = part[order], sets[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            rows = []
+            for p in np.unique(part).tolist():
+                a, b = cuts[p], cuts[p + 1]
+                own, counts = np.unique(sets[a:b], return_counts=True)
+                rows.append((p, entries[a:b].tobytes(), names[own].tobytes(), counts.astype("<u4").tobytes()))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "entries", "nodes", "counts"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        entries, nodes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("entries", "<u4"), ("nodes", np.int64), ("counts", "<u4")))
+        names, member = np.unique(nodes, return_inverse=True)
+        # signature, whether it is one of a border, node, role
+        key = (entries >> 2).astype(u) << u(34) | ((entries & 3) > 0).astype(u) << u(33) | np.repeat(member, counts).astype(u) << u(2) | (entries & 3).astype(u)
+        key = np.unique(key)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] >> u(33) != key[:-1] >> u(33)]))
+        between, high = (key >> u(33) & u(1)).astype(bool), (key & u(3)) == 2
+        total = np.diff(np.append(first, len(key)))
+        highs = np.add.reduceat(high.astype(np.int64), first)
+        useful = np.where(between[first], (highs > 0) & (highs < total), total > 1)
+        # of equal lists one is kept, with their number
+        mark = np.add.reduceat(mix((names[((key >> u(2)) & u((1 << 31) - 1)).astype(np.int64)].view(u) + (key & u(3)) * K1)), first)
+        lists, which, times = np.unique(mark[useful], return_index=True, return_counts=True)
+        at = first[useful][which]
+        size_, n_high, over = total[useful][which], highs[useful][which], between[at]
+        rows = np.repeat(at - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
+        node, is_high = names[((key[rows] >> u(2)) & u((1 << 31) - 1)).astype(np.int64)], high[rows]
+
+        def nested(pick: np.ndarray, counts: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(node[pick]))
+
+        arrays = [pa.array(lists.view(np.int64)), nested(~is_high, size_ - n_high), nested(is_high, n_high), pa.array(over), pa.array(times.astype(np.int64))]
+        return pa.Table.from_arrays(arrays, ["list", "low", "high", "between", "times"])
+
+    dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, entries binary, nodes binary, counts binary")
+    met = dealt.groupBy("part").applyInArrow(meet, LISTS)
+    return met.groupBy("list").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("between").alias("between"), F.sum("times").alias("times"))
+
+
+def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    return tuple(table.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("a", "b"))
+
+
+def elements_of(wanted: DataFrame, docs: DataFrame, size: int, keep: Scratch) -> DataFrame:
+    """node, elements (the set's hashes, packed) of the wanted nodes (node, first), made from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(at, 20_000)
-                blobs = batch.column(2).to_pylist()
-                times = np.array([len(x) // 8 for x in blobs])
-                columns = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["signature", "common", "member"])
+        for _, h, _, n, node in slices(batches, size):
+            stops = np.cumsum(n).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h[e - k : e].tobytes() for e, k in zip(stops, n.tolist())], pa.binary())], ["node", "elements"])
 
-    return groups.mapInArrow(run, "signature long, common boolean, member long")
+    keys = keep.written(wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content")).distinct(), "wanted")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left_semi").select("doc_id", "text")
+    return keep.written(texts.mapInArrow(run, "node long, elements binary"), "elements").dropDuplicates(["node"])
 
 
-def differ_at_most(na: np.ndarray, nb: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int], keep: Scratch) -> DataFrame:
+    """The pairs a, b of nodes whose sets reach the threshold: by size, by sketch, then by the sets themselves."""
     num, den = similar
-    return (na + nb) * (den - num) // (den + num)
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs a, b of nodes whose sets reach the threshold: sketches first, then the sets, made from one text of each node."""
-    num, den = similar
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                a, b = (np.frombuffer(b"".join(f[c]), "<u2").reshape(len(f), SKETCH).astype(np.int32) for c in ("a_sketch", "b_sketch"))
-                ok = np.abs(a - b).sum(axis=1) <= differ_at_most(f["a_n"].to_numpy(), f["b_n"].to_numpy(), similar)
-                yield f.loc[ok, ["a", "b"]]
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, _, n, node in slices(batches, size):
-            stops = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([packed_elements(h[e - k : e]) for e, k in zip(stops, n)], pa.binary())], ["node", "elements"])
-
-    def like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = []
-            for x, y in zip(f["a_elements"], f["b_elements"]):
-                both = np.concatenate([unpacked_elements(x), unpacked_elements(y)])
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("a_n").to_numpy() + b.column("b_n").to_numpy()
+            most = difference(total, similar).tolist()
+            close = [sketch_distance(x.as_py(), y.as_py()) <= m for x, y, m in zip(b.column("a_sketch"), b.column("b_sketch"), most)]
+            yield b.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            close = []
+            for x, y in zip(b.column("a_elements"), b.column("b_elements")):
+                both = np.concatenate([np.frombuffer(v.as_buffer(), "<u8") for v in (x, y)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common >= num * (len(both) - common))
-            yield f.loc[np.array(keep, bool), ["a", "b"]]
-
-    def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        return tuple(table.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("a", "b"))
+                close.append(den * common >= num * (len(both) - common))
+            yield b.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     a, b = sides(nodes, ["n", "sketch"])
     # the sizes alone rule out what one set can't make up
     sized = pairs.join(a, "a").join(b, "b").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    close = written(sized.mapInPandas(near, "a long, b long"), "close-pairs")
+    close = keep.written(sized.mapInArrow(near, "a long, b long"), "close-pairs")
     ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    keys = ends.select(F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content"))
-    texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "text")
-    held = written(texts.mapInArrow(elements, "node long, elements binary"), "sets").dropDuplicates(["node"])
-    a, b = sides(held, ["elements"])
-    return written(close.join(a, "a").join(b, "b").mapInPandas(like, "a long, b long"), "links")
-
-
-def across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs a, b of different components within a group that sketches don't rule out. rows: signature, node, label, n, sketch.
+    a, b = sides(elements_of(ends, docs, size, keep), ["elements"])
+    return keep.written(close.join(a, "a").join(b, "b").select("a", "b", "a_elements", "b_elements").mapInArrow(like, "a long, b long"), "links")
 
-    A group's rows arrive together, in order of label; a task holds one group at a time besides the batch read.
-    """
 
-    def pairs(label: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
-        out = []
-        ends = np.searchsorted(label, label, "right")
-        for i in np.flatnonzero(ends < len(label)):
-            far = np.abs(sketch[ends[i] :].astype(np.int32) - sketch[i]).sum(axis=1) > differ_at_most(n[ends[i] :], n[i], similar)
-            other = node[ends[i] :][~far]
-            if len(other):
-                out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
-        return out
+def across(members: DataFrame, key: str, similar: tuple[int, int], extra: list[str], rule=None) -> DataFrame:
+    """Pairs a < b of different components within groups of at most COMMON members whose sizes allow a link."""
+    num, den = similar
+    x, y = (members.select(key, *[F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "n", *extra)], *([F.col("times")] if s == "a" and "times" in members.columns else [])) for s in ("a", "b"))
+    met = x.join(y, key).where("a_node < b_node AND a_label != b_label").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+    return met if rule is None else met.where(rule)
+
+
+def in_blocks(members: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs a, b of different components in groups of any size, compared block by block. members: element, size, node, label, n."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, node, label, n = (table.column(c).to_numpy() for c in ("side", "node", "label", "n"))
+        i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+        sketch = table.column("sketch").to_pylist()
+        out: list[tuple[int, int]] = []
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if i != j else np.flatnonzero(side == 0)
+        for x in left.tolist():
+            fit = right[(label[right] != label[x]) & (np.minimum(n[right], n[x]) * similar[1] >= np.maximum(n[right], n[x]) * similar[0])]
+            for y in fit.tolist():
+                if (i != j or y > x) and sketch_distance(sketch[x], sketch[y]) <= difference(int(n[x] + n[y]), similar):
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    placed = blocks.join(nodes.select("node", "sketch"), "node").select("element", "node", "label", "n", "sketch", "own", other)
+    paired = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") <= F.col("other"), 0).otherwise(1))
+    return paired.groupBy("element", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def remainder_pairs(rest: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int], keep: Scratch) -> DataFrame:
+    """Candidate pairs a, b among the nodes of the remainder (node, first, n, label): they share one of their rarest elements."""
+    num, den = similar
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            found = pairs(*(np.concatenate(x) for x in zip(*held)))
-            if found:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(at, 20_000)
-                sign, label, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u2").reshape(-1, SKETCH)
-                cuts = [0, *(np.flatnonzero(sign[1:] != sign[:-1]) + 1).tolist(), len(sign)]
-                for x, y in zip(cuts, cuts[1:]):
-                    if x < y:
-                        if last is not None and sign[x] != last:
-                            yield from settle()
-                            held = []
-                        last = sign[x]
-                        held.append((label[x:y], node[x:y], n[x:y], sketch[x:y]))
-        if held:
-            yield from settle()
-
-    dealt = rows.dropDuplicates(["signature", "node"]).select("signature", "label", "node", "n", "sketch").repartition("signature").sortWithinPartitions("signature", "label", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = b.column("elements").to_pylist()
+            counts = [len(x) // 8 for x in blobs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), counts)), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["node", "element"])
+
+    about = rest.select("node", "n", "label")
+    elements = keep.written(elements_of(rest, docs, size, keep).select("node", "elements").mapInArrow(spread, "node long, element long"), "remainder")
+    counted = elements.groupBy("element").agg(F.count("*").alias("often")).withColumn("seen", F.col("often"))
+    # elements of one set alone tell nothing, but come first in the order
+    known = join_spread(elements, counted.where("often > 1"), "element", "seen", "often")
+    order = Window.partitionBy("node").orderBy(F.coalesce("seen", F.lit(1)), "element")
+    ranked = known.withColumn("rank", F.row_number().over(order)).join(about, "node")
+    prefix = keep.written(ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & F.col("seen").isNotNull()).select("element", "node", "n", "label"), "prefixes")
+    shared = prefix.groupBy("element").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("element", "size")
+    members = prefix.join(shared, "element")
+    few = across(members.where(F.col("size") <= COMMON), "element", similar, []).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return few.unionByName(in_blocks(members.where(F.col("size") > COMMON), nodes, similar)).distinct()
 
 
 def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content (hash of the text), n (size of the set) and label (of the component) per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
-    sets = written(shingle_sets(docs, size, similar), "shingle-sets")
-    # one row per different set, with the first document that has it
-    nodes = sets.where("sketch IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("weak").alias("weak"), F.min("slack").alias("slack"), F.min(F.struct("doc_id", "content")).alias("first"))
-    nodes = written(nodes, "nodes")
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = written(grouped(docs, max(48, -(-int(total) // PART_ROWS)), size, similar), "signature-groups")
-
-    often = members_of(groups.where("common"))
-    # sets with more empty or common parts than the slack meet in common groups too
-    commons = often.groupBy("member").agg(F.count("*").alias("commons"))
-    role = (F.col("member") % 2).cast("int") + 1
-    full = commons.join(nodes.select("node", "weak", "slack"), F.shiftright("member", 1) == F.col("node")).where(F.element_at("weak", role) + F.col("commons") > F.element_at("slack", role))
-    meeting = often.join(full.select("member"), "member").select("signature", F.shiftright("member", 1).alias("node"))
-    seldom = members_of(groups.where("NOT common")).select("signature", F.shiftright("member", 1).alias("node"))
-    met = written(seldom.unionByName(meeting), "members")
-
-    heads = met.groupBy("signature").agg(F.min("node").alias("a"))
-    stars = met.join(heads, "signature").where("a != node").select("a", F.col("node").alias("b")).distinct()
-    links = verified(stars, nodes, docs, size, similar)
-    labels = components(links)
-
-    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = labelled.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where("least != most AND size > 2").select("signature")
-    rows = labelled.join(open_, "signature").join(nodes.select("node", "n", "sketch"), "node").select("signature", "node", "label", "n", "sketch")
-    more = verified(across(rows, similar).distinct(), nodes, docs, size, similar)
-    if more.take(1):
-        labels = components(links.unionByName(more))
-
-    told = sets.select("doc_id", "content", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return written(told.select("doc_id", "content", "n", "label"), "labelled-documents")
+    with Scratch(docs.sparkSession) as keep:
+        sets = keep.written(shingle_sets(docs, size, similar), "shingle-sets")
+        # one row per different set, with the first document that has it
+        nodes = sets.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("spare").alias("spare"), F.min(F.struct("doc_id", "content")).alias("first"))
+        nodes = keep.written(nodes, "nodes")
+        total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        lists = keep.written(signature_lists(docs, max(16, -(-int(total) * 5 // (4 * TASK_SIGNATURES))), size, similar), "signature-lists")
+
+        head = F.least(F.array_min("low"), F.array_min("high"))
+        starred = lists.select(head.alias("a"), F.explode(F.concat("low", "high")).alias("b"), "times").where("a != b")
+        scored = starred.groupBy("b", "a").agg(F.sum("times").alias("score"))
+        best = scored.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")).select("a", "b")
+        links = verified(best, nodes, docs, size, similar, keep)
+        labels = components(links, keep)
+
+        about = nodes.select("node", "n", "spare", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        about = keep.written(about, "labelled-nodes")
+        low = F.transform("low", lambda x: F.struct(F.when(F.col("between"), 1).otherwise(0).alias("role"), x.alias("node")))
+        high = F.transform("high", lambda x: F.struct(F.lit(2).alias("role"), x.alias("node")))
+        rows = lists.select("list", "times", (F.size("low") + F.size("high")).alias("size"), F.explode(F.concat(low, high)).alias("m")).select("list", "times", "size", "m.role", "m.node")
+        rows = rows.join(about.drop("first"), "node").withColumn("spare", F.element_at("spare", F.col("role") + 1))
+        open_ = rows.groupBy("list").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("list")
+        rows = keep.written(rows.join(open_, "list"), "open-lists")
+
+        # what common signatures take from the S of a node in a role
+        commons = rows.where(F.col("size") > COMMON).groupBy("node", "role").agg(F.sum("times").alias("commons"))
+        commons = keep.written(commons, "commons")
+        few = rows.where(F.col("size") <= COMMON).join(commons, ["node", "role"], "left").withColumn("spare", F.col("spare") - F.coalesce("commons", F.lit(0)))
+        need = F.greatest("a_spare", "b_spare")
+        official = ((F.col("a_role") == 0) & (F.col("b_role") == 0)) | (F.col("a_role") + F.col("b_role") == 3)
+        met = across(few, "list", similar, ["role", "spare"], official & (need >= 0))
+        counted = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.sum("times").alias("shared"), F.max(need).alias("need")).where("shared > need").select("a", "b")
+
+        left = about.select("node", F.posexplode("spare").alias("role", "spare")).join(commons, ["node", "role"], "left")
+        weak = left.where(F.col("spare") < F.coalesce("commons", F.lit(0))).select("node").distinct()
+        rest = keep.written(about.join(weak, "node").select("node", "n", "first", "label"), "remainder-nodes")
+        candidates = keep.written(counted.unionByName(remainder_pairs(rest, nodes, docs, size, similar, keep)).distinct(), "candidates")
+        more = verified(candidates, nodes, docs, size, similar, keep)
+        if more.take(1):
+            labels = components(links.unionByName(more), keep)
+
+        told = sets.select("doc_id", "content", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return keep.result(told.select("doc_id", "content", "n", "label"), "labelled-documents")
 
 
 def similar_components(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
