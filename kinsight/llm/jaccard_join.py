@@ -43,6 +43,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ BROADCAST_ROWS = 200_000
 #: Rows of a common element's group that are compared with each other at a time.
 BLOCK_ROWS = 1024
 #: Bytes of text hashed at once, and documents and bytes signed at once.
-PIECE, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2000, 1 << 23
+PIECE, SLICE_DOCS, SLICE_BYTES = 1 << 20, 1000, 1 << 22
 #: The least buckets of a sketch.
 SKETCH = 128
 #: Bits of a signature that travel; a clash costs a comparison.
@@ -74,8 +75,8 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SETS = "doc_id long, content long, n long, node long, sketch binary, spare array<int>"
-LISTS = "list long, low array<long>, high array<long>, between boolean, times long"
+SETS = "doc_id long, content long, n long, node long, sketch binary"
+LISTS = "list long, low array<long>, high array<long>, between boolean, times long, spare array<int>"
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,11 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
         has = counts[short] > k
         extra[has] = mix(extra[has] * K4 + words[first[short[has]] + k] + np.uint64(k + 1))
     h, o = np.concatenate([whole[keep], extra]), np.concatenate([owner[: len(whole)][keep], short])
-    order = np.lexsort((h, o))
+    # by text and the upper bits of the hash; in the rare case that these clash, by the whole hash
+    key = o.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
+    order = np.argsort(key)
+    if len(texts) > 1 << 16 or ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+        order = np.lexsort((h, o))
     h, o = h[order], o[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
@@ -169,12 +174,15 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: np.ndarray, similar: tuple[i
     mixed, u = mix(h * K1 + K2), np.uint64
     for role, instance, domain, signed, s in instances(n, similar):
         base = np.cumsum(signed) - signed
-        place = mix(h * K3 + instance[owner].astype(u) * K2)
-        group = ((place >> u(32)) % np.maximum(domain, 1)[owner].astype(u)).astype(np.int64)
-        mine = group < signed[owner]
-        cell = ((base[owner] + group) * PARTS + (place & u(0xFFFFFFFF)).astype(np.int64) % PARTS)[mine]
+        active = np.flatnonzero((signed > 0)[owner])
+        of, z = owner[active], mixed[active]
+        # an instance's own odd factor deals the elements out anew
+        place = z * (mix(instance.astype(u) * K2 + K3) | u(1))[of]
+        group = ((place >> u(32)) * domain.astype(u)[of] >> u(32)).astype(np.int64)
+        part = ((place >> u(8) & u(0xFFFFFF)) * u(PARTS) >> u(24)).astype(np.int64)
+        mine = group < signed[of]
         content = np.zeros(int(signed.sum()) * PARTS, u)
-        np.add.at(content, cell, mixed[mine])
+        np.add.at(content, ((base[of] + group) * PARTS + part)[mine], z[mine])
         content = content.reshape(-1, PARTS)
         named = np.where(content == 0, u(0), mix(content * K4 + np.arange(1, PARTS + 1, dtype=u) * K1))
         whole = named.sum(axis=1)
@@ -197,13 +205,14 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Re
     A set's node is a 64-bit hash of its elements, so equal sets are one node wherever they are.
     """
     for whole in batches:
-        texts = [(t or "").encode() for t in whole.column(1).to_pylist()]
+        column = pc.fill_null(whole.column(1), "").cast(pa.binary())
+        lengths = pc.binary_length(column).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(lengths):
             end, held = at, 0
-            while end < len(texts) and end - at < SLICE_DOCS and (end == at or held + len(texts[end]) <= SLICE_BYTES):
-                held, end = held + len(texts[end]), end + 1
-            h, owner = shingles(texts[at:end], size)
+            while end < len(lengths) and end - at < SLICE_DOCS and (end == at or held + lengths[end] <= SLICE_BYTES):
+                held, end = held + lengths[end], end + 1
+            h, owner = shingles(column.slice(at, end - at).to_pylist(), size)
             n = np.bincount(owner, minlength=end - at)
             sums = np.zeros(end - at, np.uint64)
             np.add.at(sums, owner, mix(h * K1 + K3))
@@ -235,20 +244,15 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
-def shingle_sets(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """A row per document (doc_id, text, content) with its node; the first of a slice's equal sets carries sketch and spare."""
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """A row per document (doc_id, text, content) with its node; the first of a slice's equal sets carries the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, h, owner, n, node in slices(batches, size):
             fresh = first_of_each(node, n)
             stops = np.cumsum(n)
-            keep = fresh[owner]
-            *_, spare = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
-            spares, sketches = iter(spare.tolist()), []
-            for f, stop, k in zip(fresh.tolist(), stops.tolist(), n.tolist()):
-                sketches.append(sketch_of(h[stop - k : stop]) if f else None)
-            arrays = [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node), pa.array(sketches, pa.binary()), pa.array([next(spares) if f else None for f in fresh.tolist()], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "content", "n", "node", "sketch", "spare"])
+            sketches = [sketch_of(h[stop - k : stop]) if f else None for f, stop, k in zip(fresh.tolist(), stops.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node), pa.array(sketches, pa.binary())], ["doc_id", "content", "n", "node", "sketch"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -257,9 +261,11 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
     """The lists of nodes that share a signature, each with the number of signatures (`times`) that a task found it for.
 
     low: the nodes of a band, or the smaller sets over a border; high: the larger
-    ones there (`between`). docs: doc_id, text.
+    ones there (`between`). Rows with `spare` hold instead a node, as `list`, and
+    what empty subsets leave of its S by role. docs: doc_id, text.
     """
-    u = np.uint64
+    u, nested_type = np.uint64, pa.list_(pa.int64())
+    met_schema = pa.schema([("list", pa.int64()), ("low", nested_type), ("high", nested_type), ("between", pa.bool_()), ("times", pa.int64()), ("spare", pa.list_(pa.int32()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, owner, n, node in slices(batches, size):
@@ -268,13 +274,13 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
             if not keep.any():
                 continue
             names = node[fresh]
-            s, sets, role, _ = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
+            s, sets, role, spare = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
             part = (s % u(parts)).astype(np.int64)
             order = np.argsort(part * len(names) + sets, kind="stable")
             entries = (((s // u(parts)) & u((1 << SIGN_BITS) - 1)) << u(2) | role.astype(u)).astype("<u4")[order]
             part, sets = part[order], sets[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = []
+            rows = [(int(names[0] % parts), None, names.tobytes(), spare.astype("<i4").tobytes())]
             for p in np.unique(part).tolist():
                 a, b = cuts[p], cuts[p + 1]
                 own, counts = np.unique(sets[a:b], return_counts=True)
@@ -283,6 +289,18 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
             yield pa.RecordBatch.from_arrays(columns, ["part", "entries", "nodes", "counts"])
 
     def meet(table: pa.Table) -> pa.Table:
+        is_set = pc.is_null(table.column("entries"))
+        return pa.concat_tables([spares(table.filter(is_set)), shared(table.filter(pc.invert(is_set)))])
+
+    def spares(table: pa.Table) -> pa.Table:
+        names, spare = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("nodes", np.int64), ("counts", "<i4")))
+        nothing = pa.nulls(len(names), pa.list_(pa.int64()))
+        held = pa.ListArray.from_arrays(pa.array(np.arange(0, len(spare) + 1, 3).astype(np.int32)), pa.array(spare))
+        return pa.Table.from_arrays([pa.array(names), nothing, nothing, pa.nulls(len(names), pa.bool_()), pa.array(np.ones(len(names), np.int64)), held], schema=met_schema)
+
+    def shared(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return met_schema.empty_table()
         entries, nodes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("entries", "<u4"), ("nodes", np.int64), ("counts", "<u4")))
         names, member = np.unique(nodes, return_inverse=True)
         # signature, whether it is one of a border, node, role
@@ -304,12 +322,12 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
         def nested(pick: np.ndarray, counts: np.ndarray) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(node[pick]))
 
-        arrays = [pa.array(lists.view(np.int64)), nested(~is_high, size_ - n_high), nested(is_high, n_high), pa.array(over), pa.array(times.astype(np.int64))]
-        return pa.Table.from_arrays(arrays, ["list", "low", "high", "between", "times"])
+        arrays = [pa.array(lists.view(np.int64)), nested(~is_high, size_ - n_high), nested(is_high, n_high), pa.array(over), pa.array(times.astype(np.int64)), pa.nulls(len(lists), pa.list_(pa.int32()))]
+        return pa.Table.from_arrays(arrays, schema=met_schema)
 
     dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, entries binary, nodes binary, counts binary")
     met = dealt.groupBy("part").applyInArrow(meet, LISTS)
-    return met.groupBy("list").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("between").alias("between"), F.sum("times").alias("times"))
+    return met.groupBy("list", F.col("spare").isNotNull().alias("is_node")).agg(*[F.first(c).alias(c) for c in ("low", "high", "between")], F.sum("times").alias("times"), F.first("spare").alias("spare"))
 
 
 def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -420,12 +438,13 @@ def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int]
     """doc_id, content (hash of the text), n (size of the set) and label (of the component) per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
     with Scratch(docs.sparkSession) as keep:
-        sets = keep.written(shingle_sets(docs, size, similar), "shingle-sets")
+        sets = keep.written(shingle_sets(docs, size), "shingle-sets")
         # one row per different set, with the first document that has it
-        nodes = sets.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("spare").alias("spare"), F.min(F.struct("doc_id", "content")).alias("first"))
+        nodes = sets.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "content")).alias("first"))
         nodes = keep.written(nodes, "nodes")
         total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        lists = keep.written(signature_lists(docs, max(16, -(-int(total) * 5 // (4 * TASK_SIGNATURES))), size, similar), "signature-lists")
+        found = keep.written(signature_lists(docs, max(16, -(-int(total) * 5 // (4 * TASK_SIGNATURES))), size, similar), "signature-lists")
+        lists, spares = found.where("NOT is_node"), found.where("is_node").select(F.col("list").alias("node"), "spare")
 
         head = F.least(F.array_min("low"), F.array_min("high"))
         starred = lists.select(head.alias("a"), F.explode(F.concat("low", "high")).alias("b"), "times").where("a != b")
@@ -434,7 +453,7 @@ def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int]
         links = verified(best, nodes, docs, size, similar, keep)
         labels = components(links, keep)
 
-        about = nodes.select("node", "n", "spare", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        about = nodes.select("node", "n", "first").join(spares, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         about = keep.written(about, "labelled-nodes")
         low = F.transform("low", lambda x: F.struct(F.when(F.col("between"), 1).otherwise(0).alias("role"), x.alias("node")))
         high = F.transform("high", lambda x: F.struct(F.lit(2).alias("role"), x.alias("node")))
