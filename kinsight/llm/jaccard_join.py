@@ -335,18 +335,18 @@ def sides(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def elements_of(wanted: DataFrame, docs: DataFrame, size: int, keep: Scratch) -> DataFrame:
-    """node, elements (the set's hashes, packed) of the wanted nodes (node, first), made from one text of each."""
+    """node, elements (the set's hashes) of the wanted nodes (node, first), made from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, _, n, node in slices(batches, size):
-            stops = np.cumsum(n).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h[e - k : e].tobytes() for e, k in zip(stops, n.tolist())], pa.binary())], ["node", "elements"])
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "elements"])
 
     keys = keep.written(wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content")).distinct(), "wanted")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left_semi").select("doc_id", "text")
-    return keep.written(texts.mapInArrow(run, "node long, elements binary"), "elements").dropDuplicates(["node"])
+    return keep.written(texts.mapInArrow(run, "node long, elements array<long>"), "elements").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int], keep: Scratch) -> DataFrame:
@@ -360,23 +360,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
             close = [sketch_distance(x.as_py(), y.as_py()) <= m for x, y, m in zip(b.column("a_sketch"), b.column("b_sketch"), most)]
             yield b.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            close = []
-            for x, y in zip(b.column("a_elements"), b.column("b_elements")):
-                both = np.concatenate([np.frombuffer(v.as_buffer(), "<u8") for v in (x, y)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                close.append(den * common >= num * (len(both) - common))
-            yield b.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
-
     a, b = sides(nodes, ["n", "sketch"])
     # the sizes alone rule out what one set can't make up
     sized = pairs.join(a, "a").join(b, "b").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
     close = keep.written(sized.mapInArrow(near, "a long, b long"), "close-pairs")
     ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
     a, b = sides(elements_of(ends, docs, size, keep), ["elements"])
-    return keep.written(close.join(a, "a").join(b, "b").select("a", "b", "a_elements", "b_elements").mapInArrow(like, "a long, b long"), "links")
+    met = close.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("a_elements", "b_elements")))
+    return keep.written(met.where(F.col("common") * den >= (F.size("a_elements") + F.size("b_elements") - F.col("common")) * num).select("a", "b"), "links")
 
 
 def across(members: DataFrame, key: str, similar: tuple[int, int], extra: list[str], rule=None) -> DataFrame:
@@ -414,14 +405,8 @@ def remainder_pairs(rest: DataFrame, nodes: DataFrame, docs: DataFrame, size: in
     """Candidate pairs a, b among the nodes of the remainder (node, first, n, label): they share one of their rarest elements."""
     num, den = similar
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = b.column("elements").to_pylist()
-            counts = [len(x) // 8 for x in blobs]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), counts)), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["node", "element"])
-
     about = rest.select("node", "n", "label")
-    elements = keep.written(elements_of(rest, docs, size, keep).select("node", "elements").mapInArrow(spread, "node long, element long"), "remainder")
+    elements = keep.written(elements_of(rest, docs, size, keep).select("node", F.explode("elements").alias("element")), "remainder")
     counted = elements.groupBy("element").agg(F.count("*").alias("often")).withColumn("seen", F.col("often"))
     # elements of one set alone tell nothing, but come first in the order
     known = join_spread(elements, counted.where("often > 1"), "element", "seen", "often")
