@@ -38,8 +38,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +62,9 @@ TASK_SIGNATURES = 1_000_000
 #: Rows that are sent to all executors at most; more are met by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of a common element's group that are compared with each other at a time.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
+#: Rounds in which sets of common elements' groups are compared with the groups' first sets.
+ROUNDS = 3
 #: Bytes of text hashed at once, and documents and bytes signed at once.
 PIECE, SLICE_DOCS, SLICE_BYTES = 1 << 20, 1000, 1 << 22
 #: The least buckets of a sketch.
@@ -133,7 +135,7 @@ def largest(n, similar: tuple[int, int]):
     return n * similar[1] // similar[0]
 
 
-@cache
+@functools.cache
 def band_ends(similar: tuple[int, int]) -> np.ndarray:
     """First sizes of the bands: the square of 1/threshold apart, so similar sets are at most one band apart."""
     ends = [1]
@@ -365,9 +367,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
     sized = pairs.join(a, "a").join(b, "b").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
     close = keep.written(sized.mapInArrow(near, "a long, b long"), "close-pairs")
     ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    a, b = sides(elements_of(ends, docs, size, keep), ["elements"])
-    met = close.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("a_elements", "b_elements")))
-    return keep.written(met.where(F.col("common") * den >= (F.size("a_elements") + F.size("b_elements") - F.col("common")) * num).select("a", "b"), "links")
+    return keep.written(linked(close, elements_of(ends, docs, size, keep), similar), "links")
 
 
 def across(members: DataFrame, key: str, similar: tuple[int, int], extra: list[str], rule=None) -> DataFrame:
@@ -378,45 +378,82 @@ def across(members: DataFrame, key: str, similar: tuple[int, int], extra: list[s
     return met if rule is None else met.where(rule)
 
 
-def in_blocks(members: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs a, b of different components in groups of any size, compared block by block. members: element, size, node, label, n."""
+def linked(pairs: DataFrame, held: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs a, b whose sets (held: node, elements) reach the threshold."""
+    num, den = similar
+    a, b = sides(held, ["elements"])
+    met = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("a_elements", "b_elements")))
+    return met.where(F.col("common") * den >= (F.size("a_elements") + F.size("b_elements") - F.col("common")) * num).select("a", "b")
+
+
+def in_blocks(members: DataFrame, held: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links that join the components met in groups of any size. members: element, node, label, n.
+
+    A group's largest component needs no comparison within itself: the others'
+    sets are compared with all sets, block by block. A task yields a link for
+    each two components that it finds joined, so no more links than sets.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        side, node, label, n = (table.column(c).to_numpy() for c in ("side", "node", "label", "n"))
-        i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-        sketch = table.column("sketch").to_pylist()
-        out: list[tuple[int, int]] = []
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if i != j else np.flatnonzero(side == 0)
-        for x in left.tolist():
-            fit = right[(label[right] != label[x]) & (np.minimum(n[right], n[x]) * similar[1] >= np.maximum(n[right], n[x]) * similar[0])]
+        left, node, label, n = (table.column(c).to_numpy() for c in ("left", "node", "label", "n"))
+        sets = [np.asarray(x.values).view(np.uint64) for x in table.column("elements")]
+        counts = np.stack([np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) for x in sets]).astype(np.int32)
+        names, place = np.unique(label, return_inverse=True)
+        root, out = np.arange(len(names)), []
+        right = np.flatnonzero(~left)
+        for x in np.flatnonzero(left).tolist():
+            fit = right[root[place[right]] != root[place[x]]]
+            fit = fit[np.minimum(n[fit], n[x]) * similar[1] >= np.maximum(n[fit], n[x]) * similar[0]]
+            fit = fit[np.abs(counts[fit] - counts[x]).sum(axis=1) <= difference(n[fit] + n[x], similar)]
             for y in fit.tolist():
-                if (i != j or y > x) and sketch_distance(sketch[x], sketch[y]) <= difference(int(n[x] + n[y]), similar):
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+                if root[place[x]] != root[place[y]]:
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if common * similar[1] >= (len(sets[x]) + len(sets[y]) - common) * similar[0]:
+                        out.append((node[x], node[y]))
+                        root[root == root[place[x]]] = root[place[y]]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    placed = blocks.join(nodes.select("node", "sketch"), "node").select("element", "node", "label", "n", "sketch", "own", other)
-    paired = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") <= F.col("other"), 0).otherwise(1))
-    return paired.groupBy("element", "i", "j").applyInArrow(compare, "a long, b long")
+    sizes = members.groupBy("element", "label").agg(F.count("*").alias("of_label")).groupBy("element").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), F.sum("of_label").alias("size"), F.max("of_label").alias("most"))
+    rows = members.join(sizes, "element").withColumn("blocks", F.ceil((F.col("size") - F.col("most")) / BLOCK_ROWS)).where("blocks > 0")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    lefts = rows.where("label != main").withColumns({"i": mine, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK_ROWS) - 1)), "left": F.lit(True)})
+    rights = rows.withColumns({"i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "j": F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / BLOCK_ROWS)), "left": F.lit(False)})
+    placed = lefts.unionByName(rights).select("element", "i", "j", "left", "node", "label", "n").join(held, "node")
+    return placed.groupBy("element", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def remainder_pairs(rest: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int], keep: Scratch) -> DataFrame:
-    """Candidate pairs a, b among the nodes of the remainder (node, first, n, label): they share one of their rarest elements."""
+def remainder(rest: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int], keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs and links a, b among the nodes of the remainder (node, first, n, label): similar ones share one of their rarest elements."""
     num, den = similar
-
-    about = rest.select("node", "n", "label")
-    elements = keep.written(elements_of(rest, docs, size, keep).select("node", F.explode("elements").alias("element")), "remainder")
+    held = keep.written(elements_of(rest, docs, size, keep), "remainder-sets")
+    elements = held.select("node", F.explode("elements").alias("element"))
     counted = elements.groupBy("element").agg(F.count("*").alias("often")).withColumn("seen", F.col("often"))
     # elements of one set alone tell nothing, but come first in the order
-    known = join_spread(elements, counted.where("often > 1"), "element", "seen", "often")
+    known = join_spread(elements, keep.written(counted.where("often > 1"), "often"), "element", "seen", "often")
     order = Window.partitionBy("node").orderBy(F.coalesce("seen", F.lit(1)), "element")
-    ranked = known.withColumn("rank", F.row_number().over(order)).join(about, "node")
-    prefix = keep.written(ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & F.col("seen").isNotNull()).select("element", "node", "n", "label"), "prefixes")
-    shared = prefix.groupBy("element").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("element", "size")
-    members = prefix.join(shared, "element")
-    few = across(members.where(F.col("size") <= COMMON), "element", similar, []).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    return few.unionByName(in_blocks(members.where(F.col("size") > COMMON), nodes, similar)).distinct()
+    ranked = known.withColumn("rank", F.row_number().over(order)).join(rest.select("node", "n"), "node")
+    prefix = keep.written(ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & F.col("seen").isNotNull()).select("element", "node", "n"), "prefixes")
+    shared = prefix.groupBy("element").agg(F.count("*").alias("size")).where("size > 1")
+    members = keep.written(prefix.join(shared, "element"), "prefix-members")
+    labels, links, large = rest.select("node", "label"), [], members.where(F.col("size") > COMMON)
+    for _ in range(ROUNDS):
+        rows = large.join(labels, "node")
+        heads = rows.groupBy("element").agg(F.min(F.struct("label", "node")).alias("head"), F.max("label").alias("most")).where("head.label != most")
+        scored = rows.join(heads, "element").where("label != head.label").groupBy(F.col("node").alias("b"), F.col("head.node").alias("a")).agg(F.count("*").alias("score"))
+        found = keep.written(linked(scored.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), held, similar), "links")
+        if not found.take(1):
+            break
+        links.append(found)
+        a, b = sides(labels, ["label"])
+        joined = components(found.join(a, "a").join(b, "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), keep)
+        moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("onwards")), "label", "left")
+        labels = keep.written(moved.select("node", F.coalesce("onwards", "label").alias("label")), "labels")
+    rows = members.join(labels, "node")
+    open_ = rows.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("element")
+    rows = keep.written(rows.join(open_, "element"), "open-prefixes")
+    few = across(rows.where(F.col("size") <= COMMON), "element", similar, []).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    links.append(keep.written(in_blocks(rows.where(F.col("size") > COMMON).drop("size"), held, similar), "block-links"))
+    return few, functools.reduce(DataFrame.unionByName, links)
 
 
 def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -459,8 +496,9 @@ def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int]
         left = about.select("node", F.posexplode("spare").alias("role", "spare")).join(commons, ["node", "role"], "left")
         weak = left.where(F.col("spare") < F.coalesce("commons", F.lit(0))).select("node").distinct()
         rest = keep.written(about.join(weak, "node").select("node", "n", "first", "label"), "remainder-nodes")
-        candidates = keep.written(counted.unionByName(remainder_pairs(rest, nodes, docs, size, similar, keep)).distinct(), "candidates")
-        more = verified(candidates, nodes, docs, size, similar, keep)
+        pairs, extra = remainder(rest, docs, size, similar, keep)
+        candidates = keep.written(counted.unionByName(pairs).distinct(), "candidates")
+        more = verified(candidates, nodes, docs, size, similar, keep).unionByName(extra)
         if more.take(1):
             labels = components(links.unionByName(more), keep)
 
