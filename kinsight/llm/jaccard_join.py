@@ -277,25 +277,23 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
                 continue
             names = node[fresh]
             s, sets, role, spare = signatures(h[keep], (np.cumsum(fresh) - 1)[owner[keep]], n[fresh], similar)
-            part = (s % u(parts)).astype(np.int64)
-            order = np.argsort(part * len(names) + sets, kind="stable")
-            entries = (((s // u(parts)) & u((1 << SIGN_BITS) - 1)) << u(2) | role.astype(u)).astype("<u4")[order]
-            part, sets = part[order], sets[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
+            part = s % u(parts)
+            entries = ((s // u(parts)) & u((1 << SIGN_BITS) - 1)) << u(2) | role.astype(u)
+            # twelve bytes an entry at any number of parts; a part's entries come in order
+            order = np.argsort(part << u(SIGN_BITS + 2) | entries)
+            part, entries, members = part[order], entries[order].astype("<u4"), names[sets[order]]
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             rows = [(int(names[0] % parts), None, names.tobytes(), spare.astype("<i4").tobytes())]
-            for p in np.unique(part).tolist():
-                a, b = cuts[p], cuts[p + 1]
-                own, counts = np.unique(sets[a:b], return_counts=True)
-                rows.append((p, entries[a:b].tobytes(), names[own].tobytes(), counts.astype("<u4").tobytes()))
+            rows += [(int(part[a]), entries[a:b].tobytes(), members[a:b].tobytes(), None) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "entries", "nodes", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, ["part", "entries", "nodes", "spare"])
 
     def meet(table: pa.Table) -> pa.Table:
         is_set = pc.is_null(table.column("entries"))
         return pa.concat_tables([spares(table.filter(is_set)), shared(table.filter(pc.invert(is_set)))])
 
     def spares(table: pa.Table) -> pa.Table:
-        names, spare = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("nodes", np.int64), ("counts", "<i4")))
+        names, spare = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("nodes", np.int64), ("spare", "<i4")))
         nothing = pa.nulls(len(names), pa.list_(pa.int64()))
         held = pa.ListArray.from_arrays(pa.array(np.arange(0, len(spare) + 1, 3).astype(np.int32)), pa.array(spare))
         return pa.Table.from_arrays([pa.array(names), nothing, nothing, pa.nulls(len(names), pa.bool_()), pa.array(np.ones(len(names), np.int64)), held], schema=met_schema)
@@ -303,10 +301,18 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
     def shared(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return met_schema.empty_table()
-        entries, nodes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("entries", "<u4"), ("nodes", np.int64), ("counts", "<u4")))
+        entries, nodes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("entries", "<u4"), ("nodes", np.int64)))
+        # most signatures occur once
+        order = np.argsort(entries, kind="stable")
+        entries, nodes = entries[order], nodes[order]
+        same = (entries[1:] >> 2) == (entries[:-1] >> 2)
+        often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        entries, nodes = entries[often], nodes[often]
+        if not len(entries):
+            return met_schema.empty_table()
         names, member = np.unique(nodes, return_inverse=True)
         # signature, whether it is one of a border, node, role
-        key = (entries >> 2).astype(u) << u(34) | ((entries & 3) > 0).astype(u) << u(33) | np.repeat(member, counts).astype(u) << u(2) | (entries & 3).astype(u)
+        key = (entries >> 2).astype(u) << u(34) | ((entries & 3) > 0).astype(u) << u(33) | member.astype(u) << u(2) | (entries & 3).astype(u)
         key = np.unique(key)
         first = np.flatnonzero(np.concatenate([[True], key[1:] >> u(33) != key[:-1] >> u(33)]))
         between, high = (key >> u(33) & u(1)).astype(bool), (key & u(3)) == 2
@@ -327,7 +333,7 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
         arrays = [pa.array(lists.view(np.int64)), nested(~is_high, size_ - n_high), nested(is_high, n_high), pa.array(over), pa.array(times.astype(np.int64)), pa.nulls(len(lists), pa.list_(pa.int32()))]
         return pa.Table.from_arrays(arrays, schema=met_schema)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, entries binary, nodes binary, counts binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, entries binary, nodes binary, spare binary")
     met = dealt.groupBy("part").applyInArrow(meet, LISTS)
     return met.groupBy("list", F.col("spare").isNotNull().alias("is_node")).agg(*[F.first(c).alias(c) for c in ("low", "high", "between")], F.sum("times").alias("times"), F.first("spare").alias("spare"))
 
