@@ -30,7 +30,7 @@ class ChunkTable(dict):
         self.encode, self.prefix, self.limit, self.older = encode, prefix, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or loose(piece[0]) or loose(piece[-1]):
+        if not piece.isalpha() and (not piece or loose(piece[0]) or loose(piece[-1])):
             raise Loose
         ids = self.older.get(piece)
         if ids is None:
@@ -46,7 +46,7 @@ class ChunkTable(dict):
 class ChunkedEncoder:
     """encode(text) -> ids as bytes, the same as encode_chunk(text) in one call."""
 
-    def __init__(self, encode_chunk: Callable[[str], bytes], limit: int = 300_000):
+    def __init__(self, encode_chunk: Callable[[str], bytes], limit: int = 400_000):
         self.encode_chunk = encode_chunk
         self.spaced = ChunkTable(encode_chunk, " ", limit)
 

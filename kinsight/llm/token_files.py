@@ -1,8 +1,9 @@
 """Operator 8: token ids as Arrow files of equal-length sequences.
 
 A shard is an Arrow IPC file whose record batches hold two fixed-size-list
-columns, `ids` and `mask`, so that sequence i of a shard is found by arithmetic
-and read from a memory map without a copy. Beside it lies an index file with
+columns, `ids` and `mask`. Every batch but the last holds BATCH sequences, so
+sequence i of a shard is found by arithmetic and read from a memory map without a
+copy. Beside it lies an index file with
 the shard's documents in order and their number of ids. Documents are dealt out
 by range of doc_id and sorted, so shards in order hold the documents in order;
 only a shard's last sequence is padded, with mask false.
@@ -12,12 +13,16 @@ keeps the names that finished tasks reported, so lost or repeated attempts do no
 harm. Files go to the shared folder.
 
 Defined results: a null text counts as empty and yields the end id alone;
-repeated rows are each written, ordered by text within one doc_id; null doc_ids
-come first; an empty table gives no shard and no row.
+repeated rows are each written, ordered by a hash of the text within one doc_id;
+null doc_ids come first; texts of any length are encoded whole, and a task holds
+one Arrow batch of them; an empty table gives no shard and no row; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.llm.bpe_prefix_dp import SIMPLE, SIMPLE_SPLIT, byte_alphabet
+from kinsight.llm.bpe_prefix_dp import LATIN, SIMPLE, SIMPLE_SPLIT, byte_alphabet
 from kinsight.llm.chunked import ChunkedEncoder, loose
 from kinsight.llm.common import shared_dir, written
 
+LATIN_WORD = re.compile(rf"[{LATIN}]+")
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 #: Sequences in a record batch.
 BATCH = 64
@@ -55,18 +61,25 @@ class LibraryEncoder:
         self.mapping = dict(enumerate(byte_alphabet()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = ChunkedEncoder(self.chunk)
+        #: Punctuation, line breaks and what follows them.
+        self.bare = lru_cache(maxsize=100_000)(self.part)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def chunk(self, text: str) -> bytes:
+        word = text[1:] if text.startswith(" ") else text
+        if word.isalpha() and word.isascii():  # one pre-token, whose letters stand for themselves
+            return array("I", [t.id for t in self.model.tokenize(self.mapping[32] + word if word is not text else word)]).tobytes()
+        if LATIN_WORD.fullmatch(word):
+            return self.part(text)
         if not SIMPLE.fullmatch(text) or any(a in text for a in self.added):
             return self.whole(text)
         parts = SIMPLE_SPLIT.findall(text)
         if len(parts) == 1:
             return self.part(text)
-        spaced = self.table.spaced
-        return b"".join(spaced[p[1:]] if p[0] == " " and len(p) > 1 and not loose(p[1]) and not loose(p[-1]) else self.part(p) for p in parts)
+        spaced, bare = self.table.spaced, self.bare
+        return b"".join([spaced[p[1:]] if p[0] == " " and len(p) > 1 and not loose(p[1]) and not loose(p[-1]) else bare(p) for p in parts])
 
     def part(self, text: str) -> bytes:
         if not text.isascii():
@@ -104,27 +117,23 @@ class ShardWriter:
     def add(self, ids: np.ndarray) -> None:
         self.parts.append(ids)
         self.held += len(ids)
-        if self.held >= self.length * BATCH:
-            self._flush(self.held // self.length * self.length)
-
-    def _flush(self, count: int) -> None:
-        whole = np.concatenate(self.parts)
-        self.parts, self.held = [whole[count:]], len(whole) - count
-        for at in range(0, count, self.length * BATCH):
-            self._write(whole[at : min(at + self.length * BATCH, count)], None)
-
-    def _write(self, ids: np.ndarray, mask: np.ndarray | None) -> None:
-        mask = np.ones(len(ids), bool) if mask is None else mask
+        full = self.length * BATCH
+        if self.held >= full:
+            whole = np.concatenate(self.parts)
+            end = self.held // full * full
+            for at in range(0, end, full):
+                self._write(whole[at : at + full], np.ones(full, bool))
+            self.parts, self.held = [whole[end:].copy()], self.held - end
+
+    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x, t), self.length) for x, t in ((ids.astype(self.kind.to_pandas_dtype()), self.kind), (mask, pa.bool_()))]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
-        if self.held >= self.length:
-            self._flush(self.held // self.length * self.length)
         if self.held:
             rest = np.concatenate(self.parts)
-            pad = self.length - len(rest)
-            self._write(np.pad(rest, (0, pad)), np.arange(self.length) < len(rest))
+            padded = -(-len(rest) // self.length) * self.length
+            self._write(np.pad(rest, (0, padded - len(rest))), np.arange(padded) < len(rest))
         self.writer.close()
 
 
@@ -137,13 +146,16 @@ def write_sequences(docs: DataFrame, vocab_path: str, seq_len: int = 2048, end_i
     from pyspark import TaskContext
 
     root = out or shared_dir(docs.sparkSession, "token-files")
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # null and repeated ids are dealt out by text, repeated rows by their place
+    ordered = texts.repartitionByRange("doc_id", F.xxhash64("text"), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyarrow import fs
 
+        gc.disable()  # encoding makes no cycles, but many short-lived objects
         encoder, kind, end = library(vocab_path), id_type(vocab_path), np.array([end_id], "<u4")
         shard = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(root)
@@ -171,6 +183,7 @@ def write_sequences(docs: DataFrame, vocab_path: str, seq_len: int = 2048, end_i
                 sink.close()
             scheme = root.split("://")[0] + "://" if "://" in root else ""
             place = root[: len(root) - len(base)] if root.endswith(base) else scheme
+            gc.enable()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [place + name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     return written(ordered.mapInArrow(run, MANIFEST), "token-manifest")
@@ -194,9 +207,25 @@ class SequenceReader:
             batch = self.file.get_batch(i)
             yield batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
 
-    def sequence(self, i: int) -> np.ndarray:
+    def __len__(self) -> int:
+        """Number of sequences: every batch but the last holds BATCH of them."""
+        last = self.file.num_record_batches - 1
+        return last * BATCH + self.file.get_batch(last).num_rows
+
+    def _at(self, i: int, column: int) -> pa.Array:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
         batch, row = self.file.get_batch(i // BATCH), i % BATCH
-        return batch.column(0)[row].values.to_numpy()
+        length = batch.schema.field(column).type.list_size
+        return batch.column(column).flatten().slice(row * length, length)
+
+    def sequence(self, i: int) -> np.ndarray:
+        """Ids of sequence i, a view of the file where it is mapped."""
+        return self._at(i, 0).to_numpy()
+
+    def mask(self, i: int) -> np.ndarray:
+        """Which ids of sequence i are text; false in the padding of a shard's last one alone."""
+        return self._at(i, 1).to_numpy(zero_copy_only=False)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         stream, held = self.batches(), np.empty(0, "<u4")
