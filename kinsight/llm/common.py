@@ -38,14 +38,22 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
+#: Rows that go to a Python worker at a time: whole texts of any length.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def write(df: DataFrame, path: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet and read it back: lineage ends here, and so do its shuffle files."""
-    spark, before = df.sparkSession, df.sparkSession.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    spark = df.sparkSession
+    wanted = {CLEAN_UP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,15 +65,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
 class Scratch:
     """Tables in the shared folder that go when the block ends, but for its results."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, batch_rows: int | None = None):
+        self.spark, self.paths, self.batch_rows = spark, {}, batch_rows
 
     def __enter__(self) -> Scratch:
         return self
 
     def written(self, df: DataFrame, what: str) -> DataFrame:
         path = shared_dir(self.spark, what)
-        out = write(df, path)
+        out = write(df, path, self.batch_rows)
         self.paths[id(out)] = (path, out)
         return out
 

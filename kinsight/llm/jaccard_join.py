@@ -66,7 +66,7 @@ BLOCK_ROWS = 4096
 #: Rounds in which sets of common elements' groups are compared with the groups' first sets.
 ROUNDS = 3
 #: Bytes of text hashed at once, and documents and bytes signed at once.
-PIECE, SLICE_DOCS, SLICE_BYTES = 1 << 20, 1000, 1 << 22
+PIECE, SLICE_DOCS, SLICE_BYTES = 1 << 20, 500, 1 << 21
 #: The least buckets of a sketch.
 SKETCH = 128
 #: Bits of a signature that travel; a clash costs a comparison.
@@ -351,10 +351,13 @@ def elements_of(wanted: DataFrame, docs: DataFrame, size: int, keep: Scratch) ->
             yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "elements"])
 
     keys = keep.written(wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content")).distinct(), "wanted")
-    if keys.count() <= BROADCAST_ROWS:
+    total = keys.count()
+    if total <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left_semi").select("doc_id", "text")
-    return keep.written(texts.mapInArrow(run, "node long, elements array<long>"), "elements").dropDuplicates(["node"])
+    held = keep.written(texts.mapInArrow(run, "node long, elements array<long>"), "elements")
+    # more rows than keys come of repeated rows alone
+    return held.dropDuplicates(["node"]) if held.count() > total else held
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similar: tuple[int, int], keep: Scratch) -> DataFrame:
@@ -465,7 +468,7 @@ def remainder(rest: DataFrame, docs: DataFrame, size: int, similar: tuple[int, i
 def labelled_documents(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content (hash of the text), n (size of the set) and label (of the component) per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
-    with Scratch(docs.sparkSession) as keep:
+    with Scratch(docs.sparkSession, SLICE_DOCS) as keep:
         sets = keep.written(shingle_sets(docs, size), "shingle-sets")
         # one row per different set, with the first document that has it
         nodes = sets.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "content")).alias("first"))
