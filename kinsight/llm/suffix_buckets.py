@@ -12,26 +12,31 @@ bucket alike without a global sort; two of them are compared, 128 bits in all.
 Only buckets that can repeat are refined. Of every `depth` bytes the q-gram with
 the smallest identifier (leftmost on ties) is the window's anchor; equal windows
 have equal anchors at equal offsets. Consecutive windows of one anchor form a
-run (depths up to a thousand bytes). Runs with an anchor that occurs nowhere else are done with at once. Equal
-runs are whole copies: all but the earliest go. Runs that share an anchor and the bytes on one
-side of it, but differ, are refined window by window.
+run (depths up to a thousand bytes). A run's windows fall into four ranges by the
+number of bytes left of the anchor. All windows of a range share their middle
+bytes, and a mark of those refines the anchor's bucket once more: a range whose
+mark no other run has is done with. Equal runs are whole copies: all but the
+earliest go. The windows of ranges that share a mark, in runs that differ, are
+refined one by one.
 
 Shuffles carry runs (one for some 35 bytes) after each batch has kept the
 earliest of its equal runs. Anchors that a sample shows to be frequent are dealt
-out by run and not by anchor, so a passage or a group of copies of any size is
-spread. Spans are joined to their documents at the end.
+out by range and mark, and where those are frequent too by run, so a passage or a
+group of copies of any size is spread. Spans are joined to their documents at the
+end.
 
 Defined results: a null text counts as empty; rows that share doc_id and text
 count as one document and each give a row; texts that differ under one doc_id
 are taken at equal places, so that of two strings that start at the same byte
-neither is earlier; a null doc_id comes before all others; documents shorter
-than the depth are kept whole.
+neither is earlier; a null doc_id comes before all others; texts are told apart
+by a 64-bit hash; texts of any length are read whole, in parts that overlap by
+the depth; documents shorter than the depth are kept whole; an empty table gives
+no row; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,20 +44,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import written
+from kinsight.llm.common import Scratch
 
 GRAM = 32
 #: Bytes worked on at once.
 PIECE = 1 << 20
-#: A run's place in one number: start, then bits of the text's checksum.
-TEXT_BITS = 24
-#: Bits of a run's number of windows, and of the marks of the bytes beside its anchor.
-RUN_BITS, SIDE_BITS = 10, 26
+#: Ranges of a run's windows, and bits of their marks.
+RANGES, MARK_BITS = 4, 13
+#: A run's place in one number: start, bytes left of the anchor in its first window, number of windows.
+FIELD = 10
 #: One document in so many is sampled for frequent anchors.
 SAMPLE = 50
 #: Anchors with more than this share of a sample's runs are dealt out by run.
 HEAVY_SHARE = 2000
-RUNS = "anchor long, run long, doc long, place long, n long, known boolean"
+#: A row whose place has no windows is a stretch known to go, of `marks` windows.
+RUNS = "anchor long, run long, doc long, text_hash long, place long, marks long"
+WINDOWS = "other long, run long, doc long, text_hash long, start long"
+GONE = "doc long, text_hash long, start long, n long"
+
 #: Stands for a null doc_id; the ids themselves are kept beside it.
 NULL_DOC = -(1 << 63)
 
@@ -157,85 +166,99 @@ def stretches(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.diff(np.append(first, len(values)))
 
 
+def range_edges(depth: int) -> list[int]:
+    """Ranges of the bytes left of the anchor: range r holds edges[r] to edges[r + 1] - 1."""
+    span = depth - GRAM
+    return [r * span // RANGES for r in range(RANGES)] + [span + 1]
+
+
 def runs_of(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """anchor, run identifier, first window, and number of windows with the marks of both sides, of each run."""
+    """anchor, run identifier, first window, bytes left of the anchor there, number of windows, and marks of each run."""
     buckets = Buckets(data, depth)
     at, windows = buckets.anchors(depth), windows_within(starts, depth)
     first, n = stretches(windows, at[windows])
     begin = windows[first]
-    end = begin + n - 1
-    run = mix(mix(buckets.full[begin] * K4 + buckets.full[end]) + n.astype(np.uint64) * K1 + (at[begin] - begin).astype(np.uint64))
-    # what lies beside the anchor, if a window of the run reaches so far
-    anchor, beside = at[begin], (depth - GRAM) // 2
-    left = np.where(anchor - begin >= beside, buckets.stretch(np.maximum(anchor - beside, 0), anchor), run)
-    right_end = anchor + GRAM + beside
-    right = np.where(end + depth >= right_end, buckets.stretch(anchor + GRAM, np.minimum(right_end, len(data))), run)
-    bits = np.uint64((1 << SIDE_BITS) - 1)
-    return buckets.gram[anchor], run, begin, n | ((left & bits) << np.uint64(RUN_BITS) | (right & bits) << np.uint64(RUN_BITS + SIDE_BITS)).astype(np.int64)
-
-
-def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Marks the first row, by document and place, of each group of equal keys."""
-    order = np.lexsort((place, doc, *keys))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    out = np.zeros(len(order), bool)
-    out[order[new]] = True
-    return out
-
-
-def combined(anchor, run, doc, place, n) -> pa.RecordBatch:
-    """Rows for the shuffle: the earliest of equal runs of a batch, and the others as stretches known to go."""
-    keep = earliest((run, anchor), doc, place)
-    gone = np.flatnonzero(~keep)
-    gone = gone[np.lexsort((place[gone], doc[gone]))]
-    windows = n & ((1 << RUN_BITS) - 1)
-    if len(gone):
-        start, text = place[gone] >> TEXT_BITS, place[gone] & ((1 << TEXT_BITS) - 1)
-        new = np.concatenate([[True], (doc[gone][1:] != doc[gone][:-1]) | (text[1:] != text[:-1]) | (start[1:] != (start + windows[gone])[:-1])])
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(windows[gone], first)
-        head = gone[first]
-    else:
-        head, total = gone, gone
-    # stretches known to go need no partner: a key of their own spreads them
-    own = mix(doc[head].astype(np.uint64) * K1 + place[head].astype(np.uint64))
-    columns = (np.concatenate([anchor[keep], own]).view(np.int64), np.concatenate([run[keep], own]).view(np.int64), np.concatenate([doc[keep], doc[head]]), np.concatenate([place[keep], place[head]]), np.concatenate([n[keep], total]).astype(np.int64), np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(head), bool)]))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "run", "doc", "place", "n", "known"])
+    end, anchor = begin + n - 1, at[begin]
+    left = anchor - begin
+    run = mix(mix(buckets.full[begin] * K4 + buckets.full[end]) + n.astype(np.uint64) * K1 + left.astype(np.uint64))
+    edges, marks = range_edges(depth), np.zeros(len(begin), np.uint64)
+    for r in range(RANGES):
+        # the bytes that all windows of the range hold; a run without such windows gets a mark of no use
+        low = np.maximum(anchor - edges[r], 0)
+        high = np.minimum(anchor + depth - (edges[r + 1] - 1), len(data))
+        marks |= (buckets.stretch(low, high) & np.uint64((1 << MARK_BITS) - 1)) << np.uint64(MARK_BITS * r)
+    return buckets.gram[anchor], run, begin, left, n, marks
+
+
+def not_earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by key, document and start, and whether each starts later than the first row of its key."""
+    order = np.lexsort((start, doc, *keys))
+    if not len(order):
+        return order, np.zeros(0, bool)
+    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])])
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return order, (doc[order] != doc[head]) | (start[order] != start[head])
+
+
+def merged(doc: np.ndarray, text: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first of each stretch of adjoining windows, and its number of windows."""
+    order = np.lexsort((start, text, doc))
+    if not len(order):
+        return order, n
+    d, t, s, k = doc[order], text[order], start[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != (s + k)[:-1])]))
+    return order[first], np.add.reduceat(k, first)
 
 
 def contents(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-    return texts, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array([zlib.crc32(t) & ((1 << TEXT_BITS) - 1) for t in texts], np.int64)
+    """Texts, documents and text hashes of a batch's rows doc, text_hash, text; repeated rows are taken once."""
+    doc, name = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
+    texts = [t.encode() for t in batch.column("text").to_pylist()]
+    seen: set = set()
+    for i, key in enumerate(zip(doc.tolist(), name.tolist())):
+        if key in seen:
+            texts[i] = b""
+        seen.add(key)
+    return texts, doc, name
 
 
 def anchored_runs(docs: DataFrame, depth: int) -> DataFrame:
-    """The runs of all documents (doc, text), each batch's equal runs combined."""
+    """The runs of all documents (doc, text_hash, text), each batch's equal runs combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, docs_, checks = contents(batch)
+            texts, docs_, names = contents(batch)
             found = []
             for data, starts, text, offset in pieces(texts, depth):
-                anchor, name, begin, n = runs_of(data, starts, depth)
+                anchor, name, begin, left, n, marks = runs_of(data, starts, depth)
                 part = np.searchsorted(starts, begin, "right") - 1
-                start = begin - starts[part] + offset[part]
-                found.append((anchor, name, docs_[text[part]], start << TEXT_BITS | checks[text[part]], n))
-            if found:
-                yield combined(*(np.concatenate(x) for x in zip(*found)))
+                found.append((anchor, name, docs_[text[part]], names[text[part]], begin - starts[part] + offset[part], left, n, marks))
+            if not found:
+                continue
+            anchor, name, doc, text, start, left, n, marks = (np.concatenate(x) for x in zip(*found))
+            order, later = not_earliest((name, anchor), doc, start)
+            keep, gone = order[~later], order[later]
+            head, total = merged(doc[gone], text[gone], start[gone], n[gone])
+            head = gone[head]
+            # stretches known to go need no partner: a key of their own spreads them
+            own = mix(doc[head].astype(np.uint64) * K1 + start[head].astype(np.uint64) + text[head].astype(np.uint64))
+            place = start << (2 * FIELD)
+            columns = (
+                np.concatenate([anchor[keep], own]).view(np.int64), np.concatenate([name[keep], own]).view(np.int64), np.concatenate([doc[keep], doc[head]]), np.concatenate([text[keep], text[head]]),
+                np.concatenate([place[keep] | left[keep] << FIELD | n[keep], place[head]]), np.concatenate([marks[keep].view(np.int64), total]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "run", "doc", "text_hash", "place", "marks"])
 
     return docs.mapInArrow(run, RUNS)
 
 
 def window_rows(joined: DataFrame, depth: int) -> DataFrame:
-    """The single windows of undecided runs: joined has doc, text and runs (start, n)."""
+    """The single windows of undecided ranges: joined has doc, text_hash, text and ranges (start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, docs_, checks = contents(batch)
-            wanted = batch.column(2).to_pylist()
-            found = []
+            texts, docs_, names = contents(batch)
+            wanted = batch.column("ranges").to_pylist()
             for data, starts, text, offset in pieces(texts, depth):
                 buckets = Buckets(data, depth)
                 asked = np.zeros(starts[-1] + 1, np.int32)
@@ -248,71 +271,71 @@ def window_rows(joined: DataFrame, depth: int) -> DataFrame:
                             asked[starts[p] + b] -= 1
                 at = np.flatnonzero(np.cumsum(asked))
                 part = np.searchsorted(starts, at, "right") - 1
-                place = (at - starts[part] + offset[part]) << TEXT_BITS | checks[text[part]]
-                found.append((buckets.other[at], buckets.full[at], docs_[text[part]], place, np.ones(len(at), np.int64)))
-            if found:
-                yield combined(*(np.concatenate(x) for x in zip(*found)))
+                columns = (buckets.other[at].view(np.int64), buckets.full[at].view(np.int64), docs_[text[part]], names[text[part]], at - starts[part] + offset[part])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["other", "run", "doc", "text_hash", "start"])
 
-    return joined.mapInArrow(run, RUNS)
+    return joined.mapInArrow(run, WINDOWS)
 
 
 def doc_of(id_col: str = "doc_id"):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC)).alias("doc")
 
 
-def marked(rows: DataFrame) -> DataFrame:
-    """The rows with `goes`: a row of the same run starts earlier, or it was known to go."""
-    keys = [k for k in ("route", "side", "anchor", "run") if k in rows.columns]
-    same = Window.partitionBy(*keys).orderBy("doc", "place")
-    head = F.first(F.struct("doc", F.shiftright("place", TEXT_BITS).alias("start"))).over(same)
-    later = (head["doc"] != F.col("doc")) | (head["start"] != F.shiftright("place", TEXT_BITS))
-    return rows.withColumn("goes", F.col("known") | later)
-
-
-def repeated_spans(docs: DataFrame, depth: int = 100) -> DataFrame:
-    """doc, place, n of windows that start elsewhere earlier. docs: doc, text."""
-    runs = anchored_runs(docs, depth)
-    sides = {"left": F.shiftright("n", RUN_BITS) % (1 << SIDE_BITS), "right": F.shiftright("n", RUN_BITS + SIDE_BITS)}
-    sample = anchored_runs(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0), depth).where("NOT known").withColumns(sides)
-    # what is frequent in the sample: anchors (no side), and anchors with the bytes on one side
-    levels = F.array(F.struct(F.lit("").alias("side"), F.lit(0).cast("long").alias("mark")), *[F.struct(F.lit(x).alias("side"), F.col(x).alias("mark")) for x in sides])
-    counted = sample.select("anchor", F.explode(levels).alias("l")).groupBy("anchor", "l.side", "l.mark").count().where("count > 1")
-    counted = written(counted, "anchor-sample")
-    least = counted.agg(F.coalesce(F.sum(F.when(F.col("side") == "", F.col("count"))), F.lit(0))).first()[0] / HEAVY_SHARE + 2
-    # fewer than HEAVY_SHARE of each kind can exceed that share
+def later_than_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with `later`: a row of the same key starts earlier."""
+    first = F.min(F.struct("doc", "start")).over(Window.partitionBy(*keys))
+    return rows.withColumn("first", first).withColumn("later", (F.col("first.doc") != F.col("doc")) | (F.col("first.start") != F.col("start"))).drop("first")
+
+
+def repeated_spans(docs: DataFrame, depth: int, keep: Scratch) -> DataFrame:
+    """doc, text_hash, start, n of windows that start elsewhere earlier. docs: doc, text_hash, text."""
+    edges, n = range_edges(depth), F.col("place") % (1 << FIELD)
+    left = F.shiftright("place", FIELD) % (1 << FIELD)
+    mark = {r: F.shiftright("marks", MARK_BITS * r) % (1 << MARK_BITS) for r in range(RANGES)}
+    # of a run's windows the first has most bytes left of the anchor: range r holds those from `first` to before `last`
+    bounds = {r: (F.greatest(left - (edges[r + 1] - 1), F.lit(0)), F.least(left - edges[r] + 1, n)) for r in range(RANGES)}
+    present = F.filter(F.array(*[F.when(bounds[r][0] < bounds[r][1], F.struct(F.lit(r).alias("r"), mark[r].alias("mark"))) for r in range(RANGES)]), lambda x: x.isNotNull())
+    whole = F.array(F.struct(F.lit(-1).alias("r"), F.lit(0).cast("long").alias("mark")))
+
+    sample = anchored_runs(docs.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0), depth).where(n > 0)
+    # what is frequent in the sample: anchors (range -1), and anchors with a range's mark
+    counted = keep.written(sample.select("anchor", F.explode(F.concat(whole, present)).alias("l")).groupBy("anchor", "l.r", "l.mark").count().where("count > 1"), "anchor-sample")
+    least = counted.agg(F.coalesce(F.sum(F.when(F.col("r") == -1, F.col("count"))), F.lit(0))).first()[0] / HEAVY_SHARE + 2
+    # fewer than HEAVY_SHARE anchors, and that many of each range's marks, can exceed that share
     heavy = counted.where(F.col("count") > least)
-    anchors = heavy.where("side = ''").select("anchor", F.lit(True).alias("heavy"))
-    marks = heavy.where("side <> ''").select("anchor", "side", "mark", F.lit(True).alias("hot"))
-    # a frequent anchor's runs go by the bytes on either side, in two copies; where those are frequent too, by run
-    side = F.explode(F.when(F.col("heavy"), F.array(F.lit("left"), F.lit("right"))).otherwise(F.array(F.lit("both"))))
-    routed = runs.withColumns(sides).join(F.broadcast(anchors), "anchor", "left").withColumn("side", side)
-    routed = routed.withColumn("mark", F.when(F.col("side") == "left", F.col("left")).when(F.col("side") == "right", F.col("right")).otherwise(0)).join(F.broadcast(marks), ["anchor", "side", "mark"], "left")
-    route = F.when(F.col("hot"), F.xxhash64("anchor", "side", "run")).when(F.col("heavy"), F.xxhash64("anchor", "side", "mark")).otherwise(F.col("anchor"))
-    routed = routed.withColumn("route", route).repartition("route")
-    # two windows alike around one anchor share at least the bytes on one side of it, up to half of what is left of the depth
-    differ = F.coalesce("hot", F.lit(False))
-    for x in sides:
-        alike = Window.partitionBy("route", "side", x)
-        differ = differ | ((F.col("side") != ("right" if x == "left" else "left")) & (F.min("run").over(alike) != F.max("run").over(alike)))
-    windows = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") % (1 << RUN_BITS)).alias("n")
-    decided = marked(routed).withColumn("open", ~F.col("goes") & differ)
-    decided = written(decided.where("goes OR open").select("doc", "place", windows, "goes"), "repeated-runs")
-
-    place = F.struct(F.shiftright("place", TEXT_BITS).alias("start"), "n")
-    undecided = decided.where("NOT goes").groupBy(F.col("doc").alias("o_doc"), (F.col("place") % (1 << TEXT_BITS)).alias("o_text")).agg(F.collect_list(place).alias("runs"))
-    keyed = docs.withColumn("check", F.crc32(F.coalesce("text", F.lit(""))) % (1 << TEXT_BITS))
-    joined = keyed.join(undecided, (F.col("doc") == F.col("o_doc")) & (F.col("check") == F.col("o_text"))).select("doc", "text", "runs")
-    single = written(marked(window_rows(joined, depth)).where("goes").select("doc", "place", "n"), "repeated-windows")
-    return decided.where("goes").select("doc", "place", "n").unionByName(single)
+    anchors = F.broadcast(heavy.where("r = -1").select("anchor", F.lit(True).alias("heavy")))
+    marks = F.broadcast(heavy.where("r >= 0").select("anchor", "r", "mark", F.lit(True).alias("hot")))
+    # a frequent anchor's runs go by the marks of their ranges, a copy for each; where those are frequent too, by run
+    routed = anchored_runs(docs, depth).join(anchors, "anchor", "left").withColumn("known", n == 0)
+    routed = routed.withColumn("l", F.explode(F.when(F.col("heavy") & ~F.col("known"), present).otherwise(whole))).select("*", "l.r", "l.mark").drop("l")
+    routed = routed.join(marks, ["anchor", "r", "mark"], "left")
+    route = F.when(F.col("hot"), F.xxhash64("anchor", "r", "run")).when(F.col("heavy"), F.xxhash64("anchor", "r", "mark")).otherwise(F.col("anchor"))
+    routed = routed.withColumn("route", route).repartition("route").withColumn("start", F.shiftright("place", 2 * FIELD))
+    open_ = []
+    for r in range(RANGES):
+        alike = Window.partitionBy("route", "r", mark[r])
+        differ = F.coalesce("hot", F.min("run").over(alike) != F.max("run").over(alike))
+        open_.append(F.when((bounds[r][0] < bounds[r][1]) & F.col("r").isin(-1, r) & differ, F.struct((F.col("start") + bounds[r][0]).alias("start"), (bounds[r][1] - bounds[r][0]).cast("long").alias("n"))))
+    judged = later_than_first(routed, ["route", "r", "anchor", "run"]).withColumn("goes", F.col("known") | F.col("later"))
+    judged = judged.withColumn("open", F.when(~F.col("goes"), F.filter(F.array(*open_), lambda x: x.isNotNull())))
+    decided = judged.where(F.col("goes") | (F.size("open") > 0)).select("doc", "text_hash", "start", F.when(F.col("known"), F.col("marks")).otherwise(n).cast("long").alias("n"), "goes", "open")
+    decided = keep.written(decided, "repeated-runs")
+
+    undecided = decided.where("NOT goes").groupBy(F.col("doc").alias("o_doc"), F.col("text_hash").alias("o_text")).agg(F.flatten(F.collect_list("open")).alias("ranges"))
+    joined = docs.join(undecided, (F.col("doc") == F.col("o_doc")) & (F.col("text_hash") == F.col("o_text"))).select("doc", "text_hash", "text", "ranges")
+    single = later_than_first(window_rows(joined, depth), ["other", "run"]).where("later").select("doc", "text_hash", "start", F.lit(1).cast("long").alias("n"))
+    return decided.where("goes").select("doc", "text_hash", "start", "n").unionByName(keep.written(single, "repeated-windows"))
 
 
 def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the kept bytes."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), doc_of(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(keyed.select("doc", "text"), depth)
-    gone = spans.groupBy(F.col("doc").alias("g_doc"), (F.col("place") % (1 << TEXT_BITS)).alias("g_text")).agg(F.collect_list(F.struct(F.shiftright("place", TEXT_BITS).alias("start"), "n")).alias("gone"))
-    keyed = keyed.withColumn("check", F.crc32("text") % (1 << TEXT_BITS))
-    joined = keyed.join(gone, (F.col("doc") == F.col("g_doc")) & (F.col("check") == F.col("g_text")), "left").select("doc_id", "text", "gone")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), doc_of(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    with Scratch(docs.sparkSession) as keep:
+        spans = repeated_spans(keyed.select("doc", "text_hash", "text"), depth, keep)
+        gone = spans.groupBy(F.col("doc").alias("g_doc"), F.col("text_hash").alias("g_text")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+        gone = keep.result(gone, "repeated-spans")
+    joined = keyed.join(gone, (F.col("doc") == F.col("g_doc")) & (F.col("text_hash") == F.col("g_text")), "left").select("doc_id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
