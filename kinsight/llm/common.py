@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +94,25 @@ class Scratch:
             self.drop(df)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: idle Python workers stay beside Spark's own memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which hands its memory back when a task ends."""
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return spared
+
+
 #: A key is heavy above this share of the rows, which bounds the number of heavy keys by its inverse.
 HEAVY_SHARE = 1000
 

@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import Scratch, join_spread
+from kinsight.llm.common import Scratch, give_back, join_spread, sparing
 from kinsight.llm.components import components
 from kinsight.llm.suffix_buckets import K1, K2, K3, K4, TABLE, Powers, mix
 
@@ -256,7 +256,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             sketches = [sketch_of(h[stop - k : stop]) if f else None for f, stop, k in zip(fresh.tolist(), stops.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(node), pa.array(sketches, pa.binary())], ["doc_id", "content", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(sparing(run), SETS)
 
 
 def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int, int]) -> DataFrame:
@@ -289,6 +289,7 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
             yield pa.RecordBatch.from_arrays(columns, ["part", "entries", "nodes", "spare"])
 
     def meet(table: pa.Table) -> pa.Table:
+        give_back()
         is_set = pc.is_null(table.column("entries"))
         return pa.concat_tables([spares(table.filter(is_set)), shared(table.filter(pc.invert(is_set)))])
 
@@ -333,7 +334,7 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
         arrays = [pa.array(lists.view(np.int64)), nested(~is_high, size_ - n_high), nested(is_high, n_high), pa.array(over), pa.array(times.astype(np.int64)), pa.nulls(len(lists), pa.list_(pa.int32()))]
         return pa.Table.from_arrays(arrays, schema=met_schema)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(sign, "part long, entries binary, nodes binary, spare binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(sparing(sign), "part long, entries binary, nodes binary, spare binary")
     met = dealt.groupBy("part").applyInArrow(meet, LISTS)
     return met.groupBy("list", F.col("spare").isNotNull().alias("is_node")).agg(*[F.first(c).alias(c) for c in ("low", "high", "between")], F.sum("times").alias("times"), F.first("spare").alias("spare"))
 
@@ -355,7 +356,7 @@ def elements_of(wanted: DataFrame, docs: DataFrame, size: int, keep: Scratch) ->
     if total <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left_semi").select("doc_id", "text")
-    held = keep.written(texts.mapInArrow(run, "node long, elements array<long>"), "elements")
+    held = keep.written(texts.mapInArrow(sparing(run), "node long, elements array<long>"), "elements")
     # more rows than keys come of repeated rows alone
     return held.dropDuplicates(["node"]) if held.count() > total else held
 
@@ -374,7 +375,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
     a, b = sides(nodes, ["n", "sketch"])
     # the sizes alone rule out what one set can't make up
     sized = pairs.join(a, "a").join(b, "b").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    close = keep.written(sized.mapInArrow(near, "a long, b long"), "close-pairs")
+    close = keep.written(sized.mapInArrow(sparing(near), "a long, b long"), "close-pairs")
     ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
     return keep.written(linked(close, elements_of(ends, docs, size, keep), similar), "links")
 
@@ -420,6 +421,7 @@ def in_blocks(members: DataFrame, held: DataFrame, similar: tuple[int, int]) ->
                     if common * similar[1] >= (len(sets[x]) + len(sets[y]) - common) * similar[0]:
                         out.append((node[x], node[y]))
                         root[root == root[place[x]]] = root[place[y]]
+        give_back()
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     sizes = members.groupBy("element", "label").agg(F.count("*").alias("of_label")).groupBy("element").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), F.sum("of_label").alias("size"), F.max("of_label").alias("most"))

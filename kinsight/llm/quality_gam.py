@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinsight.llm.common import sparing
+
 FEATURES = (
     "log_bytes", "upper", "digit", "space", "stop", "comma", "mark", "symbol", "bar", "other_punct", "high",
     "word_bytes", "distinct_words", "repeated_lines", "log_lines", "top_word", "marked_words", "long_words",
@@ -212,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, label_col: st
             x = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "told", "x"])
 
-    rows = sample.select("doc_id", "text", "told").mapInArrow(run, "doc_id long, told int, x array<double>").toPandas()
+    made = sample.select("doc_id", "text", "told").mapInArrow(sparing(run), "doc_id long, told int, x array<double>")
+    # repeated rows count once, so the driver gets no more rows than there are labels drawn
+    rows = made.groupBy("doc_id", "told").agg(F.min("x").alias("x")).toPandas()
     rows = rows.sort_values(["doc_id", "told"], kind="stable")
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES))
     return fit(x, rows["told"].to_numpy(float))
@@ -227,7 +231,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
             s = model.score(features(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(sparing(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -238,4 +242,4 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5, tex
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(batch.column(at).to_pylist())) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import Scratch
+from kinsight.llm.common import Scratch, sparing
 
 GRAM = 32
 #: Bytes worked on at once.
@@ -249,7 +249,7 @@ def anchored_runs(docs: DataFrame, depth: int) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "run", "doc", "text_hash", "place", "marks"])
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(sparing(run), RUNS)
 
 
 def window_rows(joined: DataFrame, depth: int) -> DataFrame:
@@ -274,7 +274,7 @@ def window_rows(joined: DataFrame, depth: int) -> DataFrame:
                 columns = (buckets.other[at].view(np.int64), buckets.full[at].view(np.int64), docs_[text[part]], names[text[part]], at - starts[part] + offset[part])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["other", "run", "doc", "text_hash", "start"])
 
-    return joined.mapInArrow(run, WINDOWS)
+    return joined.mapInArrow(sparing(run), WINDOWS)
 
 
 def doc_of(id_col: str = "doc_id"):
@@ -365,4 +365,4 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(sparing(run), schema)

@@ -12,18 +12,66 @@ from tests.llm.helpers import docs, rows_of
 from tests.llm.test_text_operators import linked
 
 
-@pytest.mark.parametrize("similar", [(3, 4), (1, 2), (2, 3), (7, 10), (4, 5), (9, 10)])
-def test_small_sets_agree_beyond_both_slacks(similar):
+def signed(sets, similar):
+    """Signatures by set and role, and what empty subsets leave of S."""
+    h = np.concatenate(sets)
+    n = np.array([len(x) for x in sets])
+    s, of, role, spare = jj.signatures(h, np.repeat(np.arange(len(n)), n), n, similar)
+    found = {}
+    for a, b, c in zip(s.tolist(), of.tolist(), role.tolist()):
+        found.setdefault((b, c), set()).add(a)
+    return found, spare
+
+
+@pytest.mark.parametrize("similar", [(3, 4), (1, 2), (7, 10), (9, 10)])
+def test_similar_pairs_of_all_sizes_share_more_than_is_asked(similar):
+    """Pairs just at the threshold share 1 + S signatures, less the weak groups of either side."""
     num, den = similar
-    sizes = np.arange(1, jj.SMALL + 1)
-    length, slack = (dict(zip(sizes.tolist(), x.tolist())) for x in jj.small_prefix(sizes, similar))
-    for n in sizes.tolist():
-        for m in range(1, n + 1):
+    r = np.random.default_rng(5)
+    hashes = lambda k: np.sort(r.integers(0, 1 << 63, k, dtype=np.uint64))
+    pairs = []
+    for n in [*range(2, 40), 64, 65, 90, 127, 200, 333, 800]:
+        for m in range(-(-n * num // den), n + 1):
             both = -(-(m + n) * num // (num + den))
-            if both <= m:
-                # of the shared elements, in order of hash, the first so many lie in both prefixes
-                agree = min(length[m] - (m - both), length[n] - (n - both), both)
-                assert agree > max(slack[m], slack[n]), (m, n)
+            if both <= m and (n < 40 or r.random() < 0.1):
+                core = hashes(both)
+                pairs.append((np.sort(np.concatenate([core, hashes(m - both)])), np.sort(np.concatenate([core, hashes(n - both)]))))
+    found, spare = signed([x for p in pairs for x in p], similar)
+    for k, (a, b) in enumerate(pairs):
+        if len(np.setxor1d(a, b)) == 0:
+            continue
+        shared, needs = [], []
+        for x, y in ((0, 0), (1, 2)):
+            if spare[2 * k, x] < 1 << 20 and spare[2 * k + 1, y] < 1 << 20:
+                shared.append(len(found.get((2 * k, x), set()) & found.get((2 * k + 1, y), set())))
+                needs.append(max(spare[2 * k, x], spare[2 * k + 1, y]))
+        # an instance that holds the pair finds it, or both sets belong to the remainder
+        assert any(s > need or need < 0 for s, need in zip(shared, needs)), (len(a), len(b))
+
+
+@pytest.mark.parametrize("common", [2, 64])
+def test_template_texts_of_all_sizes(spark, monkeypatch, common):
+    """Groups that share all but a few words, with pairs at the threshold among them, in groups beyond COMMON and blocks."""
+    monkeypatch.setattr(jj, "COMMON", common)
+    monkeypatch.setattr(jj, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jj, "BROADCAST_ROWS", 10)
+    r = random.Random(12)
+    rows = []
+    for size in (6, 9, 14, 22, 40, 75):
+        opening = [f"t{size}w{k}" for k in range(size)]
+        for k in range(24):
+            tail = [f"x{r.randrange(10**6)}" for _ in range(size // 3)]
+            rows += [(len(rows), " ".join(opening + tail)), (len(rows) + 1, " ".join(opening + tail[:-1] + [f"y{k}"])), (len(rows) + 2, " ".join(opening + tail + tail[: size // 5]))]
+    got = rows_of(jj.similar_components(docs(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == linked(rows)
+
+
+def test_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for n, m in ((3, 3), (40, 55), (900, 1100), (5000, 400), (3000, 3100)):
+        core = r.integers(0, 1 << 63, min(n, m) // 2, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([core, r.integers(0, 1 << 63, k - len(core), dtype=np.uint64)])) for k in (n, m))
+        assert jj.sketch_distance(jj.sketch_of(a), jj.sketch_of(b)) <= len(np.setxor1d(a, b))
 
 
 def test_short_texts_with_a_common_opening(spark):
@@ -43,4 +91,3 @@ def test_elements_are_told_apart_by_64_bits():
     h, owner = jj.shingles([f"short text {i}".encode() for i in range(1000)], 5)
     assert len(h) == 1000 and (owner == np.arange(1000)).all()
     assert all(300 < (h >> np.uint64(b) & np.uint64(1)).sum() < 700 for b in range(64))
-    assert (jj.unpacked_elements(jj.packed_elements(h)) == h).all()
