@@ -282,7 +282,7 @@ def signature_lists(docs: DataFrame, parts: int, size: int, similar: tuple[int,
             # twelve bytes an entry at any number of parts; a part's entries come in order
             order = np.argsort(part << u(SIGN_BITS + 2) | entries)
             part, entries, members = part[order], entries[order].astype("<u4"), names[sets[order]]
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            at = np.unique(part, return_index=True)[1]
             rows = [(int(names[0] % parts), None, names.tobytes(), spare.astype("<i4").tobytes())]
             rows += [(int(part[a]), entries[a:b].tobytes(), members[a:b].tobytes(), None) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
