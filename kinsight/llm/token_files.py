@@ -39,6 +39,8 @@ from kinsight.llm.common import shared_dir, written
 
 LATIN_WORD = re.compile(rf"[{LATIN}]+")
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
+#: Chunks in a generation of the table.
+CHUNKS = 1_000_000
 #: Sequences in a record batch.
 BATCH = 64
 
@@ -60,7 +62,7 @@ class LibraryEncoder:
         self.model = self.tokenizer.model
         self.mapping = dict(enumerate(byte_alphabet()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = ChunkedEncoder(self.chunk)
+        self.table = ChunkedEncoder(self.chunk, CHUNKS)
         #: Punctuation, line breaks and what follows them.
         self.bare = lru_cache(maxsize=100_000)(self.part)
 
