@@ -205,3 +205,16 @@ def drift_scores(assigned: DataFrame, key: str, order: str, distance: str = "dis
     so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     spread = F.stddev_pop(distance).over(so_far)
     return assigned.select(key, order, F.when(spread > 0, F.abs(F.avg(distance).over(last) - F.avg(distance).over(so_far)) / spread).otherwise(0.0).alias("z"))
+
+
+def radial_probabilities(distances: DataFrame, row: str, radius: str = "radius", distance: str = "distance") -> DataFrame:
+    """row, cluster, p: exp(-d^2 / 2r^2) as a share of the row's sum; alike for all clusters where that sum is 0."""
+    weight = F.exp(-F.pow(F.col(distance), 2) / (2 * F.pow(F.col(radius), 2)))
+    every = Window.partitionBy(row)
+    made = distances.withColumn("w", weight)
+    return made.withColumn("p", F.when(F.sum("w").over(every) > 0, F.col("w") / F.sum("w").over(every)).otherwise(1 / F.count("*").over(every))).select(row, "cluster", "p")
+
+
+def idle_clusters(clusters: DataFrame, seen: str, now: Column, hours: int = 168) -> DataFrame:
+    """Adds expired: not seen for more than `hours`."""
+    return clusters.withColumn("expired", F.unix_micros(now) - F.unix_micros(F.col(seen)) > hours * 3_600_000_000)

@@ -76,3 +76,36 @@ def newest_snapshots(snapshots: DataFrame, key: str, version: str, keep: int = 5
 def should_roll_back(metrics: DataFrame) -> DataFrame:
     """Adds roll_back: Brier worse by 0.15 or accuracy by 0.1. metrics: brier, base_brier, accuracy, base_accuracy."""
     return metrics.withColumn("roll_back", (F.col("brier") - F.col("base_brier") > 0.15) | (F.col("base_accuracy") - F.col("accuracy") > 0.1))
+
+
+def baselines(sessions: DataFrame, key: str, least: int = 50) -> DataFrame:
+    """key, n, weekend share, mean hour and duration of groups with enough sessions."""
+    made = sessions.groupBy(key).agg(F.count("*").alias("n"), F.avg((F.col("day_of_week") >= 5).cast("double")).alias("weekend"), F.avg("hour_of_day").alias("mean_hour"), F.avg("total_duration").alias("mean_duration"))
+    return made.where(F.col("n") >= least)
+
+
+def confidence_drop(baseline: DataFrame, current: DataFrame, key: str, value: str, least: float = 0.2) -> DataFrame:
+    """key, drop of the mean confidence, and severity above `least`."""
+    mean = lambda df, n: df.groupBy(key).agg(F.avg(value).alias(n))
+    made = mean(baseline, "b").join(mean(current, "c"), key).withColumn("drop", F.col("b") - F.col("c"))
+    return made.select(key, "drop", F.when(F.col("drop") > least, F.least(F.col("drop") * 2, F.lit(1.0))).otherwise(0.0).alias("severity"))
+
+
+def quick_shift(baseline: DataFrame, current: DataFrame, key: str, least: int = 10, hours: float = 3.0) -> DataFrame:
+    """key, circular difference of the mean hours, whether it exceeds `hours`; groups with enough sessions on both sides."""
+    mean = lambda df, n: df.groupBy(key).agg(F.avg("hour_of_day").alias(n), F.count("*").alias(f"n_{n}")).where(F.col(f"n_{n}") >= least)
+    apart = F.abs(F.col("c") - F.col("b"))
+    return mean(baseline, "b").join(mean(current, "c"), key).withColumn("shift", F.least(apart, 24 - apart)).select(key, "shift", (F.col("shift") > hours).alias("shifted"))
+
+
+def holdout(rows: DataFrame, key: str, order: list[str], keep: int = 100) -> DataFrame:
+    """The newest `keep` rows of each key."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= keep).drop("_nth")
+
+
+def regime_metrics(assigned: DataFrame, key: str, predicted: str, truth: str, distance: str, least: int = 20) -> DataFrame:
+    """key, n, accuracy, confidence (1 / (1 + distance)) and Brier of a new clustering on held-out rows."""
+    sure, right = 1 / (1 + F.col(distance)), (F.col(predicted) == F.col(truth)).cast("double")
+    made = assigned.groupBy(key).agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.avg(sure).alias("confidence"), F.avg(F.pow(sure - right, 2)).alias("brier"))
+    return made.where(F.col("n") >= least)

@@ -107,3 +107,39 @@ def implicit_feedback(predictions: DataFrame, sessions: DataFrame, hours: int =
     """Ids of predictions (id, account_id, at) confirmed by at least `least` later sessions, all on one device."""
     later = predictions.join(sessions.select("account_id", "device_id", "start_time"), "account_id").where(F.unix_micros("start_time") - F.unix_micros("at") >= hours * 3_600_000_000)
     return later.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("device_id").alias("devices")).where((F.col("n") >= least) & (F.col("devices") == 1)).select("id")
+
+
+def resolved(predictions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Predictions that have feedback, with `correct`. predictions: id, predicted; feedback: id, actual, kind."""
+    return predictions.join(feedback, "id").withColumn("correct", F.col("predicted") == F.col("actual"))
+
+
+def kept_predictions(predictions: DataFrame, at: str, now: Column, days: int = 7) -> DataFrame:
+    """Predictions no older than `days`."""
+    return predictions.where(F.unix_micros(at) >= F.unix_micros(now) - days * 86_400_000_000)
+
+
+def test_results(rows: DataFrame, test: str, kind: str) -> DataFrame:
+    """test, kind, n, n_correct, accuracy, confidence of resolved predictions within each test."""
+    return rows.groupBy(test, kind).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("n_correct"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("p").alias("confidence"))
+
+
+def decile_report(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """bin (probability cut to tenths), n, accuracy, error."""
+    made = rows.groupBy((F.floor(F.col(p) * 10) / 10).alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("accuracy"))
+    return made.withColumn("error", F.abs(F.col("bin") - F.col("accuracy")))
+
+
+def calibration_score(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """One row: score (1 - mean error of the bins, each counted alike, within 0 and 1) and mae; 0.5 and 0.5 without rows."""
+    bins = rows.groupBy(F.bround(p, 1).alias("bin")).agg(F.avg(y).alias("rate")).agg(F.avg(F.abs(F.col("bin") - F.col("rate"))).alias("error")).withColumn("one", F.lit(1))
+    mae = rows.agg(F.avg(F.abs(F.col(p) - F.col(y))).alias("mae")).withColumn("one", F.lit(1))
+    score = F.least(F.greatest(1 - F.col("error"), F.lit(0.0)), F.lit(1.0))
+    return bins.join(mae, "one").select(F.coalesce(score, F.lit(0.5)).alias("score"), F.coalesce("mae", F.lit(0.5)).alias("mae"))
+
+
+def lift(rows: DataFrame, model: str, baseline: str, truth: str) -> DataFrame:
+    """One row: accuracy of model and baseline against the truth, and the relative lift."""
+    of = lambda c: F.avg((F.col(c) == F.col(truth)).cast("double"))
+    made = rows.agg(of(model).alias("model_accuracy"), of(baseline).alias("baseline_accuracy"))
+    return made.withColumn("lift", F.when(F.col("baseline_accuracy") > 0, F.col("model_accuracy") / F.col("baseline_accuracy") - 1).otherwise(0.0))

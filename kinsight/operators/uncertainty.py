@@ -96,3 +96,10 @@ def wider_source(boot: DataFrame, dirich: DataFrame) -> DataFrame:
     """channel and which source of uncertainty has the wider interval."""
     width = lambda df, n: intervals(df).select("channel", (F.col("high") - F.col("low")).alias(n))
     return width(boot, "path_width").join(width(dirich, "transition_width"), "channel").withColumn("dominant", F.when(F.col("path_width") >= F.col("transition_width"), "path_variation").otherwise("transition_estimates"))
+
+
+def lambda_sweep(counts: DataFrame, strengths: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0)) -> DataFrame:
+    """strength, channel, share of touches weighted by 1 + strength * (weight - 1). counts: channel, n, weight: a row per channel."""
+    swept = counts.withColumn("strength", F.explode(F.array(*[F.lit(x) for x in strengths])))
+    made = swept.withColumn("amount", F.col("n") * (1 + F.col("strength") * (F.col("weight") - 1)))
+    return made.withColumn("share", F.col("amount") / F.sum("amount").over(Window.partitionBy("strength"))).select("strength", "channel", "share")

@@ -7,6 +7,9 @@ CHANNELS = ["Email", "Search", "Display", "Social", "TV", "Direct"]
 EVENT_TYPES = ["play", "pause", "browse", "search", "click", "conversion", "impression", "ad_click"]
 KIDS_GENRES = ["Animation", "Kids", "Family"]
 TEEN_GENRES = ["Action", "SciFi", "Fantasy", "Animation", "Comedy"]
+# The age bracket by content counts a shorter list of teen genres.
+BRACKET_TEEN_GENRES = ["Action", "SciFi", "Fantasy", "Animation"]
+ADULT_GENRES = ["Drama", "Documentary", "Thriller", "Romance"]
 
 # Population priors by persona: probability, peak hours, genres, devices.
 PERSONA_PRIORS = {
