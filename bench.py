@@ -12,7 +12,7 @@ from kinsight.plans import catalogue
 
 HEADLINE = (
     "w01_sessions_30", "w01_account_sessions_480", "f03_cluster_features", "f05_normalised_features", "a03_device_profiles", "p16_personas", "r04_top_genres",
-    "j01_event_session", "m15_hybrid_attribution", "m18_touch_credit", "m07_coalition_values", "dr05_composition", "e08_calibration", "t01_region_revenue",
+    "j01_event_session", "a06_households", "h09_merged_entities", "m15_hybrid_attribution", "m18_touch_credit", "m07_coalition_values", "dr05_composition", "e08_calibration", "t01_region_revenue",
 )
 
 

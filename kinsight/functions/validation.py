@@ -74,7 +74,7 @@ def validate_households(households: DataFrame, members: DataFrame) -> DataFrame:
 
 def validate_distribution(rows: DataFrame, keys: list[str], share: str) -> DataFrame:
     """keys and whether their shares add up to one within a tenth."""
-    return rows.groupBy(*keys).agg((F.abs(F.sum(share) - 1) <= 0.1).alias("is_valid"))
+    return rows.groupBy(*keys).agg((F.round(F.abs(F.sum(share) - 1), 9) <= 0.1).alias("is_valid"))
 
 
 def raise_on_errors(rows: DataFrame) -> DataFrame:

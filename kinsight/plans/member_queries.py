@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsight.functions import validation as v
 from kinsight.operators import clustering as c
 from kinsight.operators import drift as d
 from kinsight.operators import evaluation as e
 from kinsight.operators import members as m
+from kinsight.operators import privacy
 from kinsight.operators import profiles as p
 from kinsight.operators import uncertainty as u
 from kinsight.plans import sql
 from kinsight.plans.clustering_queries import GIVEN, points
+from kinsight.plans.governance_queries import log as audit_log
 from kinsight.plans.profile_queries import BASE, both
 from kinsight.plans.quality_queries import BINS, PRED, predictions, rounded
 from kinsight.plans.registry import query
@@ -281,3 +284,97 @@ def lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("channel")).agg(F.count("*").alias("n"))
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("channel")], F.lit(1.0))
     return u.lambda_sweep(counts.withColumn("weight", weight)).withColumn("share", F.round("share", 8))
+
+
+@query("dr02_strongest_signal", f"""WITH {BASE}, s AS (SELECT account_id, 'COMPOSITION_SHIFT' AS signal, count(DISTINCT device_type) / 8.0 AS severity FROM sessions GROUP BY account_id UNION ALL SELECT account_id, 'TEMPORAL', round(avg(hour_of_day), 6) / 24 FROM sessions GROUP BY account_id UNION ALL SELECT account_id, 'VOLUME', CASE WHEN count(*) < 50 THEN 0.9 ELSE 0.0 END FROM sessions GROUP BY account_id)
+SELECT account_id, arg_min(signal, (-severity, signal)) AS signal, round(max(severity), 6) AS severity, max(severity) >= 0.7 OR starts_with(arg_min(signal, (-severity, signal)), 'COMPOSITION') AS recluster FROM s WHERE severity > 0 GROUP BY account_id""")
+def strongest_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = both(spark, sf_dir)[0].groupBy("account_id").agg((F.countDistinct("device_type") / 8.0).alias("COMPOSITION_SHIFT"), (F.round(F.avg("hour_of_day"), 6) / 24).alias("TEMPORAL"), F.when(F.count("*") < 50, 0.9).otherwise(0.0).alias("VOLUME"))
+    signals = by.unpivot("account_id", ["COMPOSITION_SHIFT", "TEMPORAL", "VOLUME"], "signal", "severity")
+    return d.strongest(signals, "account_id").withColumn("severity", F.round("severity", 6))
+
+
+@query("dr14_newest_snapshots", f"WITH {BASE}, s AS (SELECT device_type, CAST(start_time AS DATE) AS day, count(*) AS n FROM sessions GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY device_type ORDER BY day DESC) AS nth FROM s) SELECT device_type, CAST(day AS VARCHAR) AS day, n FROM r WHERE nth <= 5")
+def newest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshots = both(spark, sf_dir)[0].groupBy("device_type", F.to_date("start_time").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    return d.newest_snapshots(snapshots, "device_type", "day")
+
+
+@query("dr17_rollback", f"WITH {PRED}, x AS (SELECT account_id, avg(CASE WHEN day(start_time) <= 15 THEN pow(p - y, 2) END) AS b0, avg(CASE WHEN day(start_time) > 15 THEN pow(p - y, 2) END) AS b1, avg(CASE WHEN day(start_time) <= 15 THEN y END) AS a0, avg(CASE WHEN day(start_time) > 15 THEN y END) AS a1 FROM pred GROUP BY account_id) SELECT account_id, round(b1 - b0, 9) > 0.15 OR round(a0 - a1, 9) > 0.1 AS roll_back FROM x WHERE b0 IS NOT NULL AND b1 IS NOT NULL")
+def rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, error = F.dayofmonth("start_time") <= 15, F.pow(F.col("p") - F.col("y"), 2)
+    of = lambda x, when: F.round(F.avg(F.when(when, x)), 12)
+    made = predictions(spark, sf_dir).groupBy("account_id").agg(of(error, first).alias("base_brier"), of(error, ~first).alias("brier"), of(F.col("y"), first).alias("base_accuracy"), of(F.col("y"), ~first).alias("accuracy"))
+    return d.should_roll_back(made.where("base_brier IS NOT NULL AND brier IS NOT NULL")).select("account_id", "roll_back")
+
+
+@query("e15_overall_score", f"WITH {PRED}, x AS (SELECT device_type, avg(y) AS a, avg(p) AS b FROM pred GROUP BY device_type) SELECT device_type, round(0.15 * a + 0.35 * b + 0.25 * (1 - a) + 0.25 * (1 - abs(a - b)), 6) AS score FROM x")
+def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = predictions(spark, sf_dir).groupBy("device_type").agg(F.avg("y").alias("a"), F.avg("p").alias("b"))
+    return made.select("device_type", F.round(e.overall_score(F.col("a"), F.col("b"), 1 - F.col("a"), 1 - F.abs(F.col("a") - F.col("b"))), 6).alias("score"))
+
+
+@query("r09_accuracy_trend", f"WITH {PRED}, w AS (SELECT day(start_time) AS day, round(avg(y), 6) AS accuracy FROM pred GROUP BY 1), l AS (SELECT *, lag(accuracy, 2) OVER (ORDER BY day) AS before FROM w) SELECT CAST(day AS INTEGER) AS day, accuracy, CASE WHEN before IS NULL THEN 'unknown' WHEN accuracy > before + 0.02 THEN 'improving' WHEN accuracy < before - 0.02 THEN 'degrading' ELSE 'stable' END AS trend FROM l")
+def accuracy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per day of the month: 31 windows at most are ordered in one task."""
+    windows = predictions(spark, sf_dir).groupBy(F.dayofmonth("start_time").alias("day")).agg(F.round(F.avg("y"), 6).alias("accuracy"))
+    return e.trend(windows, "day", "accuracy")
+
+
+@query("p19_time_labels", f"WITH {BASE}, x AS (SELECT device_id, round(avg(hour_of_day), 6) AS h FROM sessions GROUP BY device_id) SELECT device_id, CASE WHEN h >= 5 AND h <= 11.999999 THEN 'Morning' WHEN h >= 12 AND h < 17 THEN 'Afternoon' WHEN h >= 17 AND h < 21 THEN 'Evening' ELSE 'Night Owl' END AS label FROM x")
+def time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return both(spark, sf_dir)[0].groupBy("device_id").agg(F.round(F.avg("hour_of_day"), 6).alias("h")).select("device_id", p.time_label(F.col("h")).alias("label"))
+
+
+@query("i09_distance_drift", f"WITH {GIVEN}, b AS (SELECT session_id, label, round(min(dist), 6) AS dist FROM d GROUP BY ALL), w AS (SELECT session_id, label, avg(dist) OVER (PARTITION BY label ORDER BY session_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS last, avg(dist) OVER s AS mean, stddev_pop(dist) OVER s AS spread FROM b WINDOW s AS (PARTITION BY label ORDER BY session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT session_id, label, CASE WHEN spread > 1e-9 THEN abs(last - mean) / spread ELSE 0.0 END > 2.0 AS drifted FROM w")
+def distance_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = points(spark, sf_dir)
+    assigned = c.nearest(rows, centroids, ["g"]).select("session_id", F.round("distance", 6).alias("distance")).join(rows.select("session_id", F.col("true_person").alias("label")), "session_id")
+    return c.drift_scores(assigned, "label", "session_id").select("session_id", "label", (F.col("z") > 2.0).alias("drifted"))
+
+
+@query("p05_session_duplicates", f"WITH {BASE}, x AS (SELECT substr(session_id, 1, 3) AS prefix FROM sessions) SELECT prefix, count(*) AS n FROM x GROUP BY prefix HAVING count(*) > 1")
+def session_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids cut to three characters, so that some clash."""
+    return v.duplicates(both(spark, sf_dir)[0].select(F.substring("session_id", 1, 3).alias("prefix")), "prefix")
+
+
+@query("p06_household_validation", f"""WITH {BASE}, x AS (SELECT account_id, count(DISTINCT device_id) AS devices, CAST(account_id AS BIGINT) AS a FROM sessions GROUP BY account_id),
+h AS (SELECT account_id, CASE WHEN a % 7 = 0 THEN 0 WHEN a % 7 = 1 THEN 21 ELSE devices END AS size, CASE WHEN a % 5 = 0 THEN 1.5 ELSE 0.5 END AS confidence, devices FROM x)
+SELECT account_id, concat_ws(',', CASE WHEN size < 1 THEN 'size_below_one' END, CASE WHEN size > 20 THEN 'size_above_twenty' END, CASE WHEN confidence > 1 THEN 'confidence_range' END, CASE WHEN devices <> size THEN 'member_count' END) AS errors FROM h""")
+def household_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = m.equal_split(member_rows(spark, sf_dir)[0].withColumnRenamed("device_id", "person_id"), "account_id")
+    number = F.col("account_id").cast("long")
+    found = members.groupBy("account_id").agg(F.count("*").alias("n_devices"))
+    told = found.withColumns({"size": F.when(number % 7 == 0, 0).when(number % 7 == 1, 21).otherwise(F.col("n_devices")), "confidence": F.when(number % 5 == 0, 1.5).otherwise(0.5)})
+    return v.validate_households(told, members).select("account_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("p07_device_distributions", f"WITH {BASE}, x AS (SELECT device_id, hour_of_day, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY device_id) AS share FROM sessions GROUP BY device_id, hour_of_day) SELECT device_id, round(abs(sum(share) - 1), 9) <= 0.1 AS is_valid FROM x WHERE hour_of_day <> 3 GROUP BY device_id")
+def device_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares by hour, of which one hour's are left out, so that some devices fail."""
+    shares = p.distribution(both(spark, sf_dir)[0], ["device_id"], "hour_of_day").where("hour_of_day != 3")
+    return v.validate_distribution(shares.withColumn("share", F.round("share", 12)), ["device_id"], "share")
+
+
+@query("p21_scope", f"WITH {sql.VIEWING} SELECT event_id FROM viewing WHERE account_id = '7' AND device_id IN ('7-1', '7-2') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-25'")
+def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = viewing_events(spark, sf_dir)
+    at = lambda day: F.lit(day).cast("timestamp")
+    return events.where(privacy.in_scope(events, "7", ["7-1", "7-2"], at("2024-01-05"), at("2024-01-25"))).select("event_id")
+
+
+@query("e03_confirmed_by_later_sessions", f"WITH {BASE}, s AS (SELECT *, CASE WHEN CAST(account_id AS BIGINT) % 2 = 0 THEN device_id ELSE account_id END AS a FROM sessions), l AS (SELECT x.session_id AS id, count(*) AS n, count(DISTINCT y.device_id) AS devices FROM s x JOIN s y USING (a) WHERE epoch_us(y.start_time) - epoch_us(x.start_time) >= 86400000000 GROUP BY 1) SELECT id FROM l WHERE n >= 3 AND devices = 1")
+def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices of even accounts stand for accounts of one device each."""
+    made = both(spark, sf_dir)[0]
+    made = made.withColumn("account_id", F.when(F.col("account_id").cast("long") % 2 == 0, F.col("device_id")).otherwise(F.col("account_id")))
+    return e.implicit_feedback(made.select(F.col("session_id").alias("id"), "account_id", F.col("start_time").alias("at")), made)
+
+
+@query("v12_tampered_chain", f"WITH {sql.VIEWING} SELECT CAST(count(*) AS INTEGER) AS broken FROM viewing WHERE event_id % 50 = 7")
+def tampered_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth record is changed after the log was chained: exactly those no longer match their hash."""
+    log = privacy.chained(audit_log(spark, sf_dir))
+    changed = log.withColumn("resource", F.when(F.col("seq") % 50 == 7, F.concat(F.lit("x"), "resource")).otherwise(F.col("resource")))
+    return privacy.broken_links(changed).agg(F.count("*").cast("int").alias("broken"))

@@ -36,6 +36,36 @@ def write(rows: DataFrame, path: str, kind: str = "parquet", partition_by: list[
     writer.format(kind).save(path)
 
 
+def nested(parents: DataFrame, children: DataFrame, key: str, name: str = "members") -> DataFrame:
+    """parents with an array of their children's rows: household with members, entity with its edges."""
+    fields = [c for c in children.columns if c != key]
+    held = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    return parents.join(held, key, "left").withColumn(name, F.coalesce(name, F.array().cast(held.schema[name].dataType)))
+
+
+def decoded_as(rows: DataFrame, column: str, schema) -> DataFrame:
+    """Rows of a schema from a JSON text column, the counterpart of `encoded`."""
+    return rows.select(F.from_json(column, schema).alias("e")).select("e.*")
+
+
+def write_json_events(rows: DataFrame, path: str) -> None:
+    """Attribution events, one JSON object per line, with times as ISO text."""
+    write(encoded(rows).withColumnRenamed("json", "value"), path, kind="text")
+
+
+def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts of nodes and edges, and of each type, as the graph's metadata in JSON. The tables themselves stay distributed."""
+    counts = lambda df, name: df.groupBy("type").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"{name}_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias(f"{name}_types")).withColumn("one", F.lit(1))
+    return counts(nodes, "node").join(counts(edges, "edge"), "one").select(F.to_json(F.struct("node_count", "edge_count", "node_types", "edge_types")).alias("metadata"))
+
+
+def read_snapshots(spark: SparkSession, path: str, newest: int = 5) -> DataFrame:
+    """The newest versions of the models; older ones' folders are not read."""
+    models = spark.read.parquet(path)
+    versions = [r.version for r in models.select("version").distinct().orderBy(F.desc("version")).limit(newest).collect()]
+    return models.where(F.col("version").isin(versions))
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write(nodes, f"{path}/nodes")
     write(edges, f"{path}/edges")

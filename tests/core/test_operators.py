@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from kinsight.operators import evaluation as e
 from kinsight.operators import linking as k
 from kinsight.operators import privacy as p
 from kinsight.operators import sessions as s
+from kinsight.sources import files
 
 
 def steps(spark, *journeys):
@@ -109,3 +111,33 @@ def test_audit_chain_detects_change(spark):
     log = p.chained(spark.createDataFrame(rows, "chain string, seq long, action string, actor string, event_type string, resource string, ts string"))
     assert p.broken_links(log).count() == 0
     assert p.broken_links(log.withColumn("actor", F.when(F.col("seq") == 2, "you").otherwise(F.col("actor")))).count() == 1
+
+
+def test_nested_households_round_trip(spark):
+    homes = spark.createDataFrame([("a", 2), ("b", 0)], "account_id string, size int")
+    people = spark.createDataFrame([("a", "p2", 0.4), ("a", "p1", 0.6)], "account_id string, person_id string, share double")
+    whole = files.nested(homes, people, "account_id")
+    back = files.decoded_as(files.encoded(whole), "json", whole.schema)
+    rows = {r.account_id: [(m.person_id, m.share) for m in r.members] for r in back.collect()}
+    assert rows == {"a": [("p1", 0.6), ("p2", 0.4)], "b": []}
+
+
+def test_graph_and_snapshots_on_disk(spark, tmp_path):
+    nodes = spark.createDataFrame([("d1", "device"), ("d2", "device"), ("p", "person")], "id string, type string")
+    edges = spark.createDataFrame([("d1", "p", "used_by"), ("d2", "p", "used_by")], "src string, dst string, type string")
+    files.write_graph(nodes, edges, str(tmp_path / "graph"))
+    read_nodes, read_edges = files.read_graph(spark, str(tmp_path / "graph"))
+    assert sorted(map(tuple, read_nodes.collect())) == sorted(map(tuple, nodes.collect())) and read_edges.count() == 2
+    told = json.loads(files.graph_document(read_nodes, read_edges).first().metadata)
+    assert told == {"node_count": 3, "edge_count": 2, "node_types": {"device": 2, "person": 1}, "edge_types": {"used_by": 2}}
+    for version in range(7):
+        files.append_snapshot(spark.createDataFrame([("k", [0.5, float(version)])], "cluster string, centroid array<double>"), str(tmp_path / "models"), version)
+    kept = files.read_snapshots(spark, str(tmp_path / "models"))
+    assert sorted((r.version, r.centroid[1]) for r in kept.collect()) == [(k, float(k)) for k in range(2, 7)]
+
+
+def test_attribution_events_as_lines(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", "Email", 2.5), ("e2", "Search", 0.0)], "event_id string, channel string, value double")
+    files.write_json_events(rows, str(tmp_path / "events"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "events")).collect()]
+    assert sorted(x["event_id"] for x in lines) == ["e1", "e2"] and {x["channel"] for x in lines} == {"Email", "Search"}
