@@ -4,8 +4,8 @@ Benchmark items are cut into windows of consecutive words. The corpus frequency
 of every benchmark word is counted over all documents, and each window is looked
 up by its rarest words. One scan of the documents stores the postings (word,
 document, position) of those words. A posting of the rarest word, less the word's
-offset, is the only place where a window can start; the lists of the next rarest
-words, adjusted by their offsets, are intersected with it one by one. The few
+offset, is the only place where a window can start; the list of the next rarest
+word, adjusted by its offset, is intersected with it (LISTS lists in all). The few
 places left are compared in full with the document's words, a row per document.
 Proximity search pairs the postings of the two rarest words.
 
@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from kinsight.llm.common import ascii_lower, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of the benchmark's words or windows up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 #: Lists that are intersected before places are compared in full.
-LISTS = 3
+LISTS = 2
 
 
 def words_of(text: Column) -> Column:
@@ -135,7 +134,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, id_col: s
     by_item = found.select(*key, "window_id").distinct().join(windows.select("window_id", F.explode("items").alias("item_id")), "window_id").select(*key, "item_id").distinct()
     met = by_item.groupBy(*key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
     dirty = hits.join(met, (hits.doc_id.eqNullSafe(met.doc_id)) & (hits.content == met.content)).select(hits.doc_id.alias("d_id"), hits.content.alias("d_content"), "n_hit", "n_items", "items_sha256")
-    sized = keyed.select("doc_id", "content", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    sized = keyed.select("doc_id", "content", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     told = sized.join(dirty, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("content") == F.col("d_content")), "left")
     return told.select(
         "doc_id", "content", "n_words",
