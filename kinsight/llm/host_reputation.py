@@ -3,18 +3,24 @@
 Labelled page outcomes (bad or not) are counted by host, registered domain and
 suffix. Each level's counts are shrunk through a beta-binomial prior whose mean
 is the posterior mean of the level above and whose concentration is estimated,
-by the method of moments, from the spread of that level's groups. A host is
-blocked when the lower bound of its posterior bad rate exceeds a threshold.
+by the method of moments, from the spread of that level's groups about those
+means. A host is blocked when the lower bound of its posterior bad rate exceeds a
+threshold, by default the overall bad rate: it is credibly worse than the rest.
+Where labels do not differ between hosts more than chance makes them, the priors
+are narrow and no host is blocked.
 Explicit rules (host and path prefix) come before the method; the longest wins.
 
-Only counts are shuffled, pre-aggregated by host. Hosts that hold more than a
-thousandth of the pages (so a thousand at most) are joined by broadcast, the
-others by a shuffled join, so that no host's pages meet in one task.
+Only counts are shuffled, pre-aggregated by host, domain and suffix; large domains
+and suffixes are joined by broadcast (a thousand at most), the others spread.
+Hosts that hold more than a thousandth of the pages (so a thousand at most) are
+joined by broadcast, the others by a shuffled join, so that no host's pages meet
+in one task.
 
 Defined results: a null url or one without `://` has empty host and path and is
-allowed; repeated rows each give a row; null or unlabelled outcomes don't count;
-with no label at all every host is judged by the prior alone; other columns of
-the input are ignored.
+allowed; urls of any length are read whole; of rules of equal length the later in
+order of text wins; repeated rows each give a row and count; null or unlabelled
+outcomes don't count; with no label at all every host is judged by the prior
+alone; an empty table gives no row; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ascii_lower
+from kinsight.llm.common import ascii_lower, join_spread, written
 
 # Public suffixes of two labels; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr")
@@ -44,16 +50,6 @@ class Rule:
         return self.host + self.path
 
 
-@dataclass(frozen=True)
-class Prior:
-    """Fitted scalars: the overall bad rate and the concentration at each level."""
-
-    rate: float
-    suffix: float
-    domain: float
-    host: float
-
-
 def url_host(url: Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
@@ -80,38 +76,36 @@ def host_counts(pages: DataFrame, outcomes: DataFrame, url_col: str = "url") ->
     return summed.where("host != ''").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n_pages", "n", "bad")
 
 
-def fit_prior(counts: DataFrame, low: float = 1.0, high: float = 1000.0) -> Prior:
-    """Moments over all labelled groups; four rows of sums reach the driver."""
+def concentration(groups: DataFrame, mean: Column, low: float = 1.0, high: float = 1000.0) -> float:
+    """The beta prior's concentration about the groups' own prior means, by moments; one row of sums reaches the driver.
+
+    With known means a group's squared deviation over its binomial variance is
+    1 + (n - 1) / (concentration + 1) on average.
+    """
+    squares = F.pow(F.col("bad") - F.col("n") * mean, 2) / (F.col("n") * mean * (1 - mean))
+    x = groups.where("n > 0").agg(F.count("*").alias("groups"), F.coalesce(F.sum(squares), F.lit(0.0)).alias("squares"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()
+    excess = x.squares - x.groups
+    return min(max(x.n / excess - 1, low), high) if excess > 0 else high
+
+
+def shrunk(mean: Column, k: float) -> Column:
+    return (F.col("bad") + k * mean) / (F.col("n") + k)
+
+
+def reputations(counts: DataFrame, z: float = 1.645) -> tuple[DataFrame, float]:
+    """host, n_pages, bad_rate (posterior mean), bad_low (its lower bound, of the normal approximation), and the overall bad rate."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     rate = (total.bad + 0.5) / (total.n + 1.0)
-    spread = rate * (1 - rate)
-    found = {}
-    for level in ("suffix", "domain", "host"):
-        groups = counts.groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n > 0")
-        x = groups.agg(
-            F.count("*").alias("groups"),
-            F.coalesce(F.sum((F.col("bad") - F.col("n") * rate) ** 2 / F.col("n")), F.lit(0.0)).alias("squares"),
-            F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("n2"),
-        ).first()
-        freedom = total.n - x.n2 / total.n if total.n else 0.0
-        between = (x.squares - (x.groups - 1) * spread) / freedom if freedom > 0 else 0.0
-        found[level] = min(max(spread / between - 1, low), high) if between > 0 else high
-    return Prior(rate, **found)
-
-
-def reputations(counts: DataFrame, prior: Prior, z: float = 1.645) -> DataFrame:
-    """host, n_pages, bad_rate (posterior mean) and bad_low (its lower bound)."""
-
-    def level(key: str) -> DataFrame:
-        return counts.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("bad").alias(f"{key}_bad"))
-
-    joined = counts.join(level("domain"), "domain").join(level("suffix"), "suffix")
-    suffix = (F.col("suffix_bad") + prior.suffix * prior.rate) / (F.col("suffix_n") + prior.suffix)
-    domain = (F.col("domain_bad") + prior.domain * F.col("suffix_rate")) / (F.col("domain_n") + prior.domain)
-    host = (F.col("bad") + prior.host * F.col("domain_rate")) / (F.col("n") + prior.host)
-    rated = joined.withColumn("suffix_rate", suffix).withColumn("domain_rate", domain).withColumn("bad_rate", host)
-    deviation = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + prior.host + 1))
-    return rated.select("host", "n_pages", "bad_rate", (F.col("bad_rate") - z * deviation).alias("bad_low"))
+    domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("hosts"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("domains"))
+    suffixes = suffixes.withColumn("suffix_rate", shrunk(F.lit(rate), concentration(suffixes, F.lit(rate)))).select("suffix", "suffix_rate", "domains")
+    domains = written(join_spread(domains, suffixes, "suffix", "suffix_rate", "domains"), "domain-counts")
+    parent = F.col("suffix_rate")
+    domains = domains.withColumn("domain_rate", shrunk(parent, concentration(domains, parent))).select("domain", "domain_rate", "hosts")
+    hosts = written(join_spread(counts, domains, "domain", "domain_rate", "hosts"), "host-priors")
+    parent, k = F.col("domain_rate"), concentration(hosts, F.col("domain_rate"))
+    deviation = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + k + 1))
+    return hosts.withColumn("bad_rate", shrunk(parent, k)).select("host", "n_pages", "bad_rate", (F.col("bad_rate") - z * deviation).alias("bad_low")), rate
 
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -123,10 +117,11 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
     return text, verdict
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], threshold: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: its id, host, path, rule and verdict."""
-    counts = host_counts(pages, outcomes, url_col)
-    rated = reputations(counts, fit_prior(counts), z).withColumn("blocked", F.col("bad_low") > threshold)
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], threshold: float | None = None, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per page: its id, host, path, rule and verdict. threshold: of the bad rate; None stands for the overall rate."""
+    counts = written(host_counts(pages, outcomes, url_col), "host-counts")
+    rated, overall = reputations(counts, z)
+    rated = rated.withColumn("blocked", F.col("bad_low") > (overall if threshold is None else threshold))
     n_pages = counts.agg(F.coalesce(F.sum("n_pages"), F.lit(0))).first()[0]
     heavy = F.col("n_pages") * HEAVY_SHARE > n_pages
     often = rated.where(heavy).select("host", F.col("blocked").alias("often_blocked"))

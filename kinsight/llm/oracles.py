@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from kinsight.llm.common import LOWER, UPPER
-from kinsight.llm.host_reputation import TWO_LABEL_SUFFIXES
 from kinsight.llm.secret_scan import BASE_RULES, MORE_RULES
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -13,8 +12,17 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{_WORDS}')"
 
 
+# The oracle's own list of public suffixes of two labels.
+_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp ne.jp or.jp com.br com.cn com.mx co.in co.za com.tr"
+
+
 def _two_labels() -> str:
-    return "(" + ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES) + ")"
+    return "(" + ", ".join(f"'{s}'" for s in _SUFFIXES.split()) + ")"
+
+
+def _moments() -> str:
+    excess = "(sum(pow(bad - n * m, 2) / (n * m * (1 - m))) - count(*))"
+    return f"coalesce(CASE WHEN {excess} > 0 THEN least(greatest(sum(n - 1) / {excess} - 1, 1.0), 1000.0) END, 1000.0)"
 
 
 OP3 = f"""WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
@@ -23,16 +31,14 @@ o AS (SELECT host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1
 h AS (SELECT x.host, string_split(x.host, '.') AS parts, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad FROM (SELECT DISTINCT host FROM p WHERE host <> '') x LEFT JOIN o USING (host)),
 c AS (SELECT host, n, bad, array_to_string(parts[-2:], '.') IN {_two_labels()} AS two, array_to_string(parts[-2:], '.') AS d2, array_to_string(parts[-3:], '.') AS d3, parts[-1] AS s1 FROM h),
 k AS (SELECT host, n, bad, CASE WHEN two THEN d3 ELSE d2 END AS domain, CASE WHEN two THEN d2 ELSE s1 END AS suffix FROM c),
-t AS (SELECT sum(n) AS n, (sum(bad) + 0.5) / (sum(n) + 1.0) AS rate FROM k),
-lv AS (SELECT 'suffix' AS level, suffix AS g, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY suffix UNION ALL SELECT 'domain', domain, sum(n), sum(bad) FROM k GROUP BY domain UNION ALL SELECT 'host', host, n, bad FROM k),
-mo AS (SELECT level, count(*) AS groups, sum(pow(lv.bad - lv.n * rate, 2) / lv.n) AS squares, sum(lv.n * lv.n) AS n2 FROM lv, t WHERE lv.n > 0 GROUP BY level),
-be AS (SELECT level, CASE WHEN t.n - n2 / t.n > 0 THEN (squares - (groups - 1) * rate * (1 - rate)) / (t.n - n2 / t.n) ELSE 0.0 END AS between_, rate * (1 - rate) AS spread FROM mo, t),
-kp AS (SELECT level, CASE WHEN between_ > 0 THEN least(greatest(spread / between_ - 1, 1.0), 1000.0) ELSE 1000.0 END AS kappa FROM be),
-kk AS (SELECT coalesce(max(CASE WHEN level = 'suffix' THEN kappa END), 1000.0) AS ks, coalesce(max(CASE WHEN level = 'domain' THEN kappa END), 1000.0) AS kd, coalesce(max(CASE WHEN level = 'host' THEN kappa END), 1000.0) AS kh FROM kp),
-sr AS (SELECT suffix, (sum(bad) + any_value(ks) * any_value(rate)) / (sum(k.n) + any_value(ks)) AS srate FROM k, kk, t GROUP BY suffix),
-dr AS (SELECT domain, any_value(k.suffix) AS suffix, (sum(bad) + any_value(kd) * any_value(srate)) / (sum(n) + any_value(kd)) AS drate FROM k JOIN sr USING (suffix), kk GROUP BY domain),
-hr AS (SELECT host, n, (bad + kh * drate) / (n + kh) AS m, kh FROM k JOIN dr USING (domain), kk),
-b AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + kh + 1)) > 0.5 AS blocked FROM hr),
+t AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS rate FROM k),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS m FROM k, t GROUP BY suffix), sk AS (SELECT {_moments()} AS kappa FROM s0 WHERE n > 0),
+sr AS (SELECT suffix, (bad + kappa * m) / (n + kappa) AS srate FROM s0, sk),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(srate) AS m FROM k JOIN sr USING (suffix) GROUP BY domain), dk AS (SELECT {_moments()} AS kappa FROM d0 WHERE n > 0),
+dr AS (SELECT domain, (bad + kappa * m) / (n + kappa) AS drate FROM d0, dk),
+h0 AS (SELECT host, n, bad, drate AS m FROM k JOIN dr USING (domain)), hk AS (SELECT {_moments()} AS kappa FROM h0 WHERE n > 0),
+hr AS (SELECT host, n, kappa, (bad + kappa * m) / (n + kappa) AS m FROM h0, hk),
+b AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + kappa + 1)) > rate AS blocked FROM hr, t),
 r AS (SELECT page_id, host, path, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(blocked, false) THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN b USING (host)"""

@@ -34,6 +34,26 @@ def test_host_reputation(spark):
     assert host_reputation.judge(pages.limit(0), outcomes, rules).collect() == []
 
 
+def test_hosts_that_are_credibly_worse(spark):
+    """Of hosts with one bad rate but for three, exactly those three are blocked, whatever their domain and how rows repeat."""
+    bad = {"h3.a.com": 32, "h11.b.org": 30, "casino.c.co.uk": 36}
+    hosts = [f"h{k}.{'abc'[k % 3]}.{'com' if k % 2 else 'org'}" for k in range(40)] + list(bad)
+    told = [(f"http://{h}/p{i}", int(i < bad.get(h, 4 + k % 3))) for k, h in enumerate(hosts) for i in range(40)]
+    long = "https://h1.a.com/" + "x" * 100_000
+    pages = spark.createDataFrame([(i, f"https://{h.upper()}/x?y") for i, h in enumerate(hosts)] * 2 + [(-1, long), (-2, "https://new.a.com/")], "page_id long, url string")
+    got = host_reputation.judge(pages, spark.createDataFrame(told, "url string, bad int"), []).collect()
+    assert len(got) == len(hosts) * 2 + 2
+    assert {r.host for r in got if r.verdict == "block"} == set(bad)
+    assert [r.verdict for r in got if r.page_id < 0] == ["allow", "allow"] and max(len(r.path) for r in got) == 100_001
+
+
+def test_hosts_that_differ_by_chance_alone(spark):
+    r = np.random.default_rng(3)
+    told = [(f"http://h{k}.d{k % 7}.com/", int(r.random() < 0.25)) for k in range(60) for _ in range(30)]
+    pages = spark.createDataFrame([(k, f"http://h{k}.d{k % 7}.com/") for k in range(60)], "page_id long, url string")
+    assert {x.verdict for x in host_reputation.judge(pages, spark.createDataFrame(told, "url string, bad int"), []).collect()} == {"allow"}
+
+
 def test_exact_topk(spark):
     import random
 
