@@ -125,7 +125,7 @@ class PrefixBpe:
         return whole
 
     def _fit(self, key: int, a: int, b: int) -> bool:
-        if len(self._fits) >= 800_000:
+        if len(self._fits) >= 400_000:
             self._fits.clear()
         fit = self._fits[key] = self.border_holds(a, b)
         return fit
@@ -167,7 +167,7 @@ class PrefixBpe:
                 else:
                     ids = pieces.get(part)
                     if ids is None:
-                        if len(pieces) >= 200_000:
+                        if len(pieces) >= 100_000:
                             pieces.clear()
                         ids = pieces[part] = self.encode_piece(self._mapped(part))
                     out.append(ids)

@@ -46,7 +46,7 @@ class ChunkTable(dict):
 class ChunkedEncoder:
     """encode(text) -> ids as bytes, the same as encode_chunk(text) in one call."""
 
-    def __init__(self, encode_chunk: Callable[[str], bytes], limit: int = 400_000):
+    def __init__(self, encode_chunk: Callable[[str], bytes], limit: int = 150_000):
         self.encode_chunk = encode_chunk
         self.spaced = ChunkTable(encode_chunk, " ", limit)
 
