@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinsight.llm.chunked import ChunkedEncoder, loose
+from kinsight.llm.common import sparing
 
 NEVER = 1 << 62
 #: The pre-tokenizer's pattern over ASCII and Latin letters; texts with others go through the library's own splitter.
@@ -224,4 +225,4 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(sparing(run), schema)
