@@ -63,6 +63,8 @@ TASK_SIGNATURES = 1_000_000
 BROADCAST_ROWS = 200_000
 #: Rows of a common element's group that are compared with each other at a time.
 BLOCK_ROWS = 4096
+#: Elements counted at a time, columns of a matrix product, and the share of a block's pairs (one in so many) from which an element is a column.
+PASS_ELEMENTS, PASS_COLUMNS, DENSE = 4_000_000, 1024, 64
 #: Rounds in which sets of common elements' groups are compared with the groups' first sets.
 ROUNDS = 3
 #: Bytes of text hashed at once, and documents and bytes signed at once.
@@ -396,6 +398,54 @@ def linked(pairs: DataFrame, held: DataFrame, similar: tuple[int, int]) -> DataF
     return met.where(F.col("common") * den >= (F.size("a_elements") + F.size("b_elements") - F.col("common")) * num).select("a", "b")
 
 
+def gathered(members: DataFrame, keep: Scratch) -> DataFrame:
+    """members, with the groups that hold each other's nodes made one where that means fewer comparisons.
+
+    Sets of one template share many common elements, and each of these would bring
+    the same sets together again. `element` is then the joint group's first node;
+    a clash with another group's element costs comparisons alone.
+    """
+    heads = members.groupBy("element").agg(F.min("node").alias("a"))
+    edges = members.join(heads, "element").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    joint = components(edges, keep).withColumnRenamed("label", "joint")
+    rows = keep.written(members.join(joint, "node", "left").withColumn("joint", F.coalesce("joint", "node")), "joint-members")
+    apart = rows.groupBy("joint", "element").agg(F.count("*").alias("c")).groupBy("joint").agg(F.sum(F.col("c") * F.col("c")).alias("apart"))
+    nodes = rows.select("joint", "node", "label", "n").distinct()
+    one = nodes.groupBy("joint").agg(F.count("*").alias("c")).join(apart, "joint").where("c * c <= apart").select("joint")
+    whole = nodes.join(one, "joint").select(F.col("joint").alias("element"), "node", "label", "n")
+    return keep.written(rows.join(one, "joint", "left_anti").select("element", "node", "label", "n").unionByName(whole), "gathered")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of elements that each set of a shares with each of b: frequent elements by matrix products, rare ones pair by pair."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    passes = -(-sum(map(len, a + b)) // PASS_ELEMENTS)
+    for p in range(passes):
+        sets = [x[x % np.uint64(passes) == p] for x in a + b] if passes > 1 else a + b
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
+        if not len(first):
+            continue
+        total, mine = np.diff(np.append(first, len(flat))), np.add.reduceat((of < len(a)).astype(np.int64), first)
+        theirs = total - mine
+        dense = mine * theirs * DENSE > len(a) * len(b)
+        columns = np.flatnonzero(dense)
+        for at in range(0, len(columns), PASS_COLUMNS):
+            part = columns[at : at + PASS_COLUMNS]
+            x = np.zeros((len(sets), len(part)), np.float32)
+            x[of[np.repeat(first[part] - np.cumsum(total[part]) + total[part], total[part]) + np.arange(total[part].sum())], np.repeat(np.arange(len(part)), total[part])] = 1
+            out += x[: len(a)] @ x[len(a) :].T
+        columns = np.flatnonzero(~dense & (mine > 0) & (theirs > 0))
+        pairs = np.cumsum(mine[columns] * theirs[columns])
+        for part in np.split(columns, np.searchsorted(pairs, np.arange(PASS_ELEMENTS, pairs[-1] if len(pairs) else 0, PASS_ELEMENTS))):
+            each = mine[part] * theirs[part]
+            k, j = np.repeat(part, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            np.add.at(out, (of[first[k] + j // theirs[k]], of[first[k] + mine[k] + j % theirs[k]] - len(a)), 1)
+    return out
+
+
 def in_blocks(members: DataFrame, held: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Links that join the components met in groups of any size. members: element, node, label, n.
 
@@ -407,20 +457,16 @@ def in_blocks(members: DataFrame, held: DataFrame, similar: tuple[int, int]) ->
     def compare(table: pa.Table) -> pa.Table:
         left, node, label, n = (table.column(c).to_numpy() for c in ("left", "node", "label", "n"))
         sets = [np.asarray(x.values).view(np.uint64) for x in table.column("elements")]
-        counts = np.stack([np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) for x in sets]).astype(np.int32)
         names, place = np.unique(label, return_inverse=True)
         root, out = np.arange(len(names)), []
-        right = np.flatnonzero(~left)
-        for x in np.flatnonzero(left).tolist():
-            fit = right[root[place[right]] != root[place[x]]]
-            fit = fit[np.minimum(n[fit], n[x]) * similar[1] >= np.maximum(n[fit], n[x]) * similar[0]]
-            fit = fit[np.abs(counts[fit] - counts[x]).sum(axis=1) <= difference(n[fit] + n[x], similar)]
-            for y in fit.tolist():
-                if root[place[x]] != root[place[y]]:
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if common * similar[1] >= (len(sets[x]) + len(sets[y]) - common) * similar[0]:
-                        out.append((node[x], node[y]))
-                        root[root == root[place[x]]] = root[place[y]]
+        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+        counts = shared_counts([sets[x] for x in lefts], [sets[y] for y in rights])
+        for x, row in zip(lefts.tolist(), counts):
+            common = row.astype(np.int64)
+            near = rights[common * similar[1] >= (n[rights] + n[x] - common) * similar[0]]
+            while len(near := near[root[place[near]] != root[place[x]]]):
+                out.append((node[x], node[near[0]]))
+                root[root == root[place[x]]] = root[place[near[0]]]
         give_back()
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
@@ -463,7 +509,7 @@ def remainder(rest: DataFrame, docs: DataFrame, size: int, similar: tuple[int, i
     open_ = rows.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("element")
     rows = keep.written(rows.join(open_, "element"), "open-prefixes")
     few = across(rows.where(F.col("size") <= COMMON), "element", similar, []).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    links.append(keep.written(in_blocks(rows.where(F.col("size") > COMMON).drop("size"), held, similar), "block-links"))
+    links.append(keep.written(in_blocks(gathered(rows.where(F.col("size") > COMMON).drop("size"), keep), held, similar), "block-links"))
     return few, functools.reduce(DataFrame.unionByName, links)
 
 

@@ -91,3 +91,23 @@ def test_elements_are_told_apart_by_64_bits():
     h, owner = jj.shingles([f"short text {i}".encode() for i in range(1000)], 5)
     assert len(h) == 1000 and (owner == np.arange(1000)).all()
     assert all(300 < (h >> np.uint64(b) & np.uint64(1)).sum() < 700 for b in range(64))
+
+
+@pytest.mark.parametrize("limits", [{}, {"PASS_ELEMENTS": 500, "PASS_COLUMNS": 3}, {"DENSE": 10**9}])
+def test_shared_counts_of_frequent_and_rare_elements(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jj, name, value)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.zipf(1.3, r.integers(1, 60)).astype(np.uint64)) for _ in range(120)] + [np.zeros(0, np.uint64)]
+    a, b = sets[:50], sets[40:]
+    assert (jj.shared_counts(a, b) == np.array([[len(np.intersect1d(x, y)) for y in b] for x in a])).all()
+
+
+def test_sets_of_one_template_are_compared_once(spark):
+    """Two templates of 30 sets by 20 common elements, and a chain whose joint group would cost more than its parts."""
+    rows = [(100 * t + e, 1000 * t + k, k, 50) for t in (1, 2) for e in range(20) for k in range(30)]
+    rows += [(900 + e, 9000 + 5 * e + k, k, 50) for e in range(12) for k in range(6)]
+    members = spark.createDataFrame(rows, "element long, node long, label long, n long")
+    with jj.Scratch(spark) as keep:
+        got = {(r.element, r.node) for r in jj.gathered(members, keep).collect()}
+    assert got == {(1000 * t, 1000 * t + k) for t in (1, 2) for k in range(30)} | {(e, x) for e, x, *_ in rows if e >= 900}
