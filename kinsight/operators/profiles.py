@@ -80,14 +80,11 @@ def shared_devices(sessions: DataFrame, genres: DataFrame) -> DataFrame:
 
 def personas(sessions: DataFrame, genres: DataFrame, key: str) -> DataFrame:
     """key, persona: child, teen, primary_adult or secondary_adult by genres, hours, device and activity."""
-    g = distribution(genres, [key], "genre", F.col("seconds")).groupBy(key).agg(
-        F.sum(F.when(F.col("genre").isin(KIDS_GENRES), F.col("share")).otherwise(0.0)).alias("kids"),
-        F.sum(F.when(F.col("genre").isin(TEEN_GENRES), F.col("share")).otherwise(0.0)).alias("teens"),
-    )
-    h = distribution(sessions, [key], "hour_of_day").groupBy(key).agg(
-        F.sum(F.when(F.col("hour_of_day").between(14, 18), F.col("share")).otherwise(0.0)).alias("afternoon"),
-        F.sum(F.when(F.col("hour_of_day").isin(19, 20, 21, 22, 23, 0, 1), F.col("share")).otherwise(0.0)).alias("evening"),
-    )
+    # a part of the whole in one division: sums of rounded shares miss limits that counts just reach
+    part = lambda names: F.sum(F.when(F.col("genre").isin(names), F.col("seconds")).otherwise(0.0)) / F.nullif(F.sum("seconds"), F.lit(0.0))
+    g = genres.groupBy(key).agg(part(KIDS_GENRES).alias("kids"), part(TEEN_GENRES).alias("teens"))
+    among = lambda hours: F.avg(F.when(F.col("hour_of_day").isin(hours), 1.0).otherwise(0.0))
+    h = sessions.groupBy(key).agg(among([*range(14, 19)]).alias("afternoon"), among([19, 20, 21, 22, 23, 0, 1]).alias("evening"))
     made = profiles(sessions, [key]).select(key, "session_count", "primary_device") if key == "account_id" else sessions.groupBy(key).agg(F.count("*").alias("session_count"), F.mode("device_type", deterministic=True).alias("primary_device"))
     persona = (
         F.when((F.col("kids") > 0.5) & (F.col("afternoon") > 0.3), "child")

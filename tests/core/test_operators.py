@@ -16,6 +16,8 @@ from kinsight.operators import linking as k
 from kinsight.operators import privacy as p
 from kinsight.operators import sessions as s
 from kinsight.sources import files
+from kinsight.operators import profiles
+from kinsight.vocabulary import KIDS_GENRES
 
 
 def steps(spark, *journeys):
@@ -141,3 +143,15 @@ def test_attribution_events_as_lines(spark, tmp_path):
     files.write_json_events(rows, str(tmp_path / "events"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "events")).collect()]
     assert sorted(x["event_id"] for x in lines) == ["e1", "e2"] and {x["channel"] for x in lines} == {"Email", "Search"}
+
+
+def persona_rows(spark, hours):
+    """A device's sessions at the given hours, all its time in one kids' genre."""
+    made = spark.createDataFrame([("d", "a", "tv", h) for h in hours], "device_id string, account_id string, device_type string, hour_of_day int")
+    return made, spark.createDataFrame([("d", KIDS_GENRES[0], 5.0)], "device_id string, genre string, seconds double")
+
+
+def test_personas_just_at_a_limit(spark):
+    """3 of 10 sessions in three hours of the afternoon are not more than 0.3, as sums of rounded shares would have it."""
+    at, over = ([14, 15, 16] + [9] * k for k in (7, 6))
+    assert [profiles.personas(*persona_rows(spark, h), "device_id").first().persona for h in (at, over)] == ["secondary_adult", "child"]
