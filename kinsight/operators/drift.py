@@ -75,7 +75,7 @@ def newest_snapshots(snapshots: DataFrame, key: str, version: str, keep: int = 5
 
 def should_roll_back(metrics: DataFrame) -> DataFrame:
     """Adds roll_back: Brier worse by 0.15 or accuracy by 0.1. metrics: brier, base_brier, accuracy, base_accuracy."""
-    return metrics.withColumn("roll_back", (F.col("brier") - F.col("base_brier") > 0.15) | (F.col("base_accuracy") - F.col("accuracy") > 0.1))
+    return metrics.withColumn("roll_back", (F.round(F.col("brier") - F.col("base_brier"), 9) > 0.15) | (F.round(F.col("base_accuracy") - F.col("accuracy"), 9) > 0.1))
 
 
 def baselines(sessions: DataFrame, key: str, least: int = 50) -> DataFrame:
