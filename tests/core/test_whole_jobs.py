@@ -9,6 +9,7 @@ import json
 import numpy as np
 import pytest
 
+from kinsight.operators import linking
 from kinsight.operators import uncertainty as u
 from kinsight.plans import catalogue
 from kinsight.sources.views import journey_steps
@@ -49,3 +50,16 @@ def test_wider_source_of_100_samples(spark):
     steps = journey_steps(spark, SF)
     want = {tuple(r) for r in u.wider_source(u.bootstrap(steps, 100), u.dirichlet(steps, 100)).collect()}
     assert {tuple(r) for r in catalogue.queries()["q05_wider_source"](spark, SF).collect()} == want
+
+
+def test_genre_overlap_shuffles_no_pairs(spark):
+    plan = catalogue.queries()["u02_genre_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_device_links_are_the_same_in_blocks_of_any_size(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, catalogue.queries()["l01_device_links"](spark, SF).collect()))
+    want = rows()
+    monkeypatch.setattr(linking, "BLOCK_DEVICES", 17)
+    monkeypatch.setattr(linking, "SLICE_DEVICES", 4)
+    assert want and rows() == want
