@@ -6,6 +6,7 @@ import datetime as dt
 import itertools
 import json
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -80,3 +81,45 @@ def test_silhouettes_in_blocks_of_any_size(spark, monkeypatch):
     frame = spark.createDataFrame([(str(i), f"c{k}", v.tolist()) for i, (v, k) in enumerate(zip(x, label))], "id string, cluster string, features array<double>")
     got = {int(s.id): s.silhouette for s in clustering.silhouettes(frame, "id").collect()}
     assert np.allclose([got[i] for i in range(59)], (b - a) / np.maximum(a, b))
+
+
+def test_temporal_pairs_are_whole_in_blocks_of_any_size(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    made = [(f"{u}-{u % 3}", start + dt.timedelta(microseconds=int(t))) for u, t in zip(r.integers(0, 40, 400), r.integers(0, 6 * 3600_000_000, 400))]
+    made += [("0-x", start), ("é", start), ("0-x", start + dt.timedelta(minutes=30)), ("1", None), (None, start)]
+    want = {}
+    for (a, t), (b, u) in itertools.product((x for x in made if None not in x), repeat=2):
+        if a < b and abs(t - u) <= dt.timedelta(minutes=30):
+            near, n = want.get((a, b), (0, 0))
+            want[a, b] = near + 1 - abs(t - u) / dt.timedelta(minutes=30), n + 1
+    frame = spark.createDataFrame(made, "device_id string, start_time timestamp")
+    for sizes in ({}, {"PAIR_DEVICES": 7, "PAIR_CELLS": 20, "PAIR_STARTS": 5}, {"PAIR_SESSIONS": 60, "PAIR_CELLS": 1}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(linking, name, value)
+        found = linking.temporal_pairs(frame)
+        rows = found.collect()
+        got = {(x.a, x.b): x for x in rows}
+        assert len(rows) == len(got) and {k: x.pairs for k, x in got.items()} == {k: n for k, (_, n) in want.items()}
+        assert all(abs(x.closeness - want[k][0]) < 1e-9 for k, x in got.items())
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert linking.temporal_pairs(frame.limit(0)).collect() == []
+
+
+def test_closeness_is_rounded_as_in_the_sql(spark, tmp_path):
+    """Halves of a millionth, as the stored doubles have them."""
+    gaps = [900 + 1800 * n for n in [*range(100), 1984, 2872, 4038, 4343, 4926, 5231, 5814, 6397, 992_021, 992_160, 994_824]]
+    start = dt.datetime(2024, 1, 1)
+    made = [(2 * i + e, 2 * i + e, start + dt.timedelta(hours=2 * i, microseconds=g * e), "view", 1.0, '{"k": 1}') for i, g in enumerate(gaps) for e in (0, 1)]
+    spark.createDataFrame(made, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert spark_rows(spark, "j07_temporal_pairs", tmp_path, "a, b, pairs, closeness") == sql_rows("j07_temporal_pairs", tmp_path, "a, b, pairs, closeness")
+
+
+def spark_rows(spark, name, folder, columns):
+    return sorted(map(tuple, catalogue.queries()[name](spark, str(folder)).select(*columns.split(", ")).collect()))
+
+
+def sql_rows(name, folder, columns):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    return sorted(con.sql(f"SELECT {columns} FROM ({catalogue.oracles()[name]})").fetchall())
