@@ -16,8 +16,11 @@ def distribution(rows: DataFrame, keys: list[str], value: str, weight: Column |
 
 
 def top_k(rows: DataFrame, keys: list[str], value: str, amount: str, k: int) -> DataFrame:
-    """The k values with the largest amount by keys, with their rank; ties go to the smaller value."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(amount), value))
+    """The k values with the largest amount by keys, with their rank; ties go to the smaller value, nulls last.
+
+    Amounts are compared to six digits, so that the order in which they were added decides nothing.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(amount, 6)), F.asc_nulls_last(value)))
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 

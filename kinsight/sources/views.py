@@ -13,7 +13,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values: list[str], index) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+    return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
 def viewing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def viewing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         "event_id",
         F.col("user_id").cast("string").alias("account_id"),
-        F.concat_ws("-", F.col("user_id").cast("string"), (k % 4).cast("string")).alias("device_id"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), (k % 4).cast("string")).alias("device_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_type",
         pick(DEVICE_TYPES, k % 4).alias("device_type"),

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from kinsight.operators import clustering, linking
+from kinsight.operators import profiles
 from kinsight.operators import uncertainty as u
 from kinsight.plans import catalogue
 from kinsight.sources.views import journey_steps
@@ -123,3 +124,27 @@ def sql_rows(name, folder, columns):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
     return sorted(con.sql(f"SELECT {columns} FROM ({catalogue.oracles()[name]})").fetchall())
+
+
+def odd_events(spark, folder):
+    """Whole amounts; missing values, accounts and genres."""
+    r = np.random.default_rng(11)
+    made = []
+    for i in range(900):
+        u, v, k = (int(x) for x in r.integers(0, (60, 4, 100)))
+        props = None if i % 6 == 0 else "{}" if i % 13 == 0 else json.dumps({"k": k})
+        made.append((i, None if i % 50 == 0 else u, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), "view", None if i % 5 < 2 else float(v), props))
+    spark.createDataFrame(made, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+def test_top_genres_of_missing_values(spark, tmp_path):
+    odd_events(spark, tmp_path)
+    got = catalogue.queries()["r04_top_genres"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert set(map(tuple, got)) == set(con.sql(catalogue.oracles()["r04_top_genres"]).fetchall())
+
+
+def test_order_of_addition_decides_no_rank(spark):
+    frame = spark.createDataFrame([("a", "x", 0.1 + 0.2 + 0.3), ("a", "w", 0.3 + 0.2 + 0.1), ("a", "v", 0.5)], "id string, genre string, amount double")
+    assert [r.genre for r in profiles.top_k(frame, ["id"], "genre", "amount", 3).orderBy("rank").collect()] == ["w", "x", "v"]
