@@ -25,8 +25,8 @@ def context_key(device: Column, intent: Column, person: Column) -> Column:
 
 
 def age_brackets(amounts: DataFrame, key: str, genre: str = "genre", amount: str = "amount") -> DataFrame:
-    """key, bracket by the largest of three sums of genre amounts; on ties the older one."""
-    of = lambda names: F.sum(F.when(F.col(genre).isin(*names), F.col(amount)).otherwise(0.0))
+    """key, bracket by the largest of three sums of genre amounts, compared to six digits; on ties the older one."""
+    of = lambda names: F.round(F.sum(F.when(F.col(genre).isin(*names), F.col(amount)).otherwise(0.0)), 6)
     made = amounts.groupBy(key).agg(of(KIDS_GENRES).alias("kids"), of(BRACKET_TEEN_GENRES).alias("teen"), of(ADULT_GENRES).alias("adult"))
     bracket = F.when((F.col("kids") > F.col("teen")) & (F.col("kids") > F.col("adult")), "child").when(F.col("teen") > F.col("adult"), "teen").otherwise("adult")
     return made.select(key, bracket.alias("bracket"))

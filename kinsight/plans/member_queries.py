@@ -55,7 +55,7 @@ def age_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT account_id, upper(bracket[1]) || bracket[2:] || ', ' || n || ' sessions, mostly ' || coalesce(genre, 'nothing') AS description FROM brackets JOIN n USING (account_id) LEFT JOIN g USING (account_id)""")
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, genres = both(spark, sf_dir)
-    main = genres.groupBy("account_id", "genre").agg(F.round(F.sum("seconds"), 6).alias("s")).groupBy("account_id").agg(F.min_by("genre", F.struct(-F.col("s"), F.col("genre"))).alias("genre"))
+    main = genres.where("genre IS NOT NULL").groupBy("account_id", "genre").agg(F.round(F.sum("seconds"), 6).alias("s")).groupBy("account_id").agg(F.min_by("genre", F.struct(F.col("s").isNull(), -F.col("s"), F.col("genre"))).alias("genre"))
     counts = made.groupBy("account_id").agg(F.count("*").alias("n"))
     joined = m.age_brackets(genres, "account_id", "genre", "seconds").join(counts, "account_id").join(main, "account_id", "left")
     return joined.select("account_id", m.described(F.col("bracket"), F.col("n"), F.col("genre")).alias("description"))

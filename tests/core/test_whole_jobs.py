@@ -10,8 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from kinsight.operators import clustering, linking
-from kinsight.operators import profiles
+from kinsight.operators import clustering, linking, members, profiles
 from kinsight.operators import uncertainty as u
 from kinsight.plans import catalogue
 from kinsight.sources.views import journey_steps
@@ -148,3 +147,15 @@ def test_top_genres_of_missing_values(spark, tmp_path):
 def test_order_of_addition_decides_no_rank(spark):
     frame = spark.createDataFrame([("a", "x", 0.1 + 0.2 + 0.3), ("a", "w", 0.3 + 0.2 + 0.1), ("a", "v", 0.5)], "id string, genre string, amount double")
     assert [r.genre for r in profiles.top_k(frame, ["id"], "genre", "amount", 3).orderBy("rank").collect()] == ["w", "x", "v"]
+
+
+def test_descriptions_of_missing_values(spark, tmp_path):
+    odd_events(spark, tmp_path)
+    columns = "account_id, description"
+    assert spark_rows(spark, "p20_descriptions", tmp_path, columns) == sql_rows("p20_descriptions", tmp_path, columns)
+
+
+def test_order_of_addition_decides_no_bracket(spark):
+    made = [("a", "Kids", 0.1 + 0.2 + 0.3), ("a", "Action", 0.3 + 0.2 + 0.1), ("b", "Action", 0.1 + 0.2 + 0.3), ("b", "Drama", 0.3 + 0.2 + 0.1)]
+    found = members.age_brackets(spark.createDataFrame(made, "id string, genre string, amount double"), "id")
+    assert {r.id: r.bracket for r in found.collect()} == {"a": "teen", "b": "adult"}
