@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,11 @@ def cosine_pairs(rows: DataFrame, key: str, value: str, amount: str, name: str)
 PAIR_DEVICES, PAIR_SESSIONS, PAIR_BLOCKS, PAIR_CELLS, PAIR_STARTS = 20_000, 400_000, 4, 1 << 19, 1 << 21
 
 
-def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+def dealt(rows: DataFrame, blocks: int | Column) -> DataFrame:
     """Rows of devices with their block, _mine, once for each pair of blocks, _i <= _j, that it is part of."""
-    mine = F.pmod(F.xxhash64("device_id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    blocks = F.lit(blocks)
+    mine = F.pmod(F.xxhash64("device_id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
     return rows.withColumn("_mine", mine).withColumn("_other", other).withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")}).drop("_other")
 
 
@@ -110,108 +112,287 @@ def combined(signals: dict[str, tuple[Column, float]]) -> tuple[Column, Column]:
 def device_links(sessions: DataFrame, genres: DataFrame, threshold: float = 0.7, least: int = 5) -> DataFrame:
     """a, b, login, temporal, behavioral, score, probability of links at or above the threshold, both devices having enough sessions.
 
-    Every pair of devices is scored, block by block.
+    Every pair of devices is judged, block by block; devices that are alike are judged once.
     """
     devices = usable_devices(sessions, least)
     kept = sessions.join(devices.select("device_id"), "device_id", "left_semi")
-    ids = devices.select("device_id", "account_id", "n", "avg_duration")
+    ids = devices.select("device_id", "n", "avg_duration")
     hour = vectors_of(kept.groupBy("device_id", "hour_of_day").agg(F.count("*").cast("double").alias("x")), "hour_of_day", "hours")
     genre = vectors_of(genres.join(devices.select("device_id"), "device_id", "left_semi").groupBy("device_id", "genre").agg(F.sum("seconds").alias("x")), "genre", "genres")
     times = kept.groupBy("device_id").agg(F.sort_array(F.collect_list(F.unix_micros("start_time"))).alias("times"), F.array_sort(F.collect_set("account_id")).alias("accounts"))
-    rows = ids.drop("account_id").join(times, "device_id").join(hour, "device_id", "left").join(genre, "device_id", "left")
-    return paired(rows, threshold)
+    rows = ids.join(times, "device_id").join(hour, "device_id", "left").join(genre, "device_id", "left")
+    prepare_checkpoints(sessions.sparkSession)
+    return paired(rows.checkpoint(), threshold)  # read more than once
 
 
 def vectors_of(amounts: DataFrame, value: str, name: str) -> DataFrame:
-    """device_id and its amounts x by value, as entries."""
-    return amounts.where(F.col(value).isNotNull()).groupBy("device_id").agg(F.collect_list(F.struct(F.col(value).cast("string").alias("v"), "x")).alias(name))
+    """device_id and its amounts x by value, as sorted entries."""
+    return amounts.where(F.col(value).isNotNull()).groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("string").alias("v"), "x"))).alias(name))
 
 
-def unit_vectors(entries: list) -> np.ndarray:
+def unit_vectors(entries: pa.ChunkedArray) -> np.ndarray:
     """A row of unit length for each list of (v, x), zero where it has no length; columns by v."""
-    names = {v: i for i, v in enumerate(sorted({e["v"] for row in entries for e in row or []}))}
-    out = np.zeros((len(entries), len(names)))
-    for i, row in enumerate(entries):
-        for e in row or []:
-            out[i, names[e["v"]]] = e["x"] or 0.0
+    lists = entries.combine_chunks()
+    flat = lists.flatten()
+    names = pc.struct_field(flat, "v").dictionary_encode()
+    place = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), dtype=object)))
+    out = np.zeros((len(lists), len(place)))
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    out[row, place[names.indices.to_numpy()]] = pc.fill_null(pc.struct_field(flat, "x"), 0.0).to_numpy(zero_copy_only=False)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
-def closeness_of(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
-    """Sum of 1 - gap / width over times of each of a and each of b that are at most the width apart."""
-    out = np.zeros((len(a), len(b)))
-    t, u = np.concatenate(a), np.concatenate(b)
-    i, j = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    order = np.argsort(u, kind="stable")
-    u, j = u[order], j[order]
-    first, last = np.searchsorted(u, t - width, "left"), np.searchsorted(u, t + width, "right")
-    for at in range(0, len(t), 4096):
-        k = last[at : at + 4096] - first[at : at + 4096]
-        left = np.repeat(np.arange(at, at + len(k)), k)
-        right = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + first[left]
-        np.add.at(out, (i[left], j[right]), 1 - np.abs(t[left] - u[right]) / width)
-    return out
-
-
-#: Devices that are compared with as many others at a time.
-BLOCK_DEVICES = 2000
-#: Devices of a block that are scored at a time.
-SLICE_DEVICES = 250
+#: Devices that are compared with as many others by a task, and of these at a time on either side.
+BLOCK_DEVICES, SLICE_DEVICES, SLICE_OTHERS = 20_000, 250, 4096
+#: Pairs that are scored at a time.
+SCORED_PAIRS = 1 << 17
+#: What products of single precision may be off by.
+SINGLE = 1e-4
+
+
+class Profiles:
+    """What pairs of devices are scored by, of a table with n, avg_duration, times, hours and genres."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.width = width
+        self.n, self.length = table.column("n").to_numpy().astype(float), table.column("avg_duration").to_numpy().astype(float)
+        self.hours, self.genres = unit_vectors(table.column("hours")), unit_vectors(table.column("genres"))
+        lists = table.column("times").combine_chunks()
+        self.t, self.size = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.begin, self.owner = np.cumsum(self.size) - self.size, np.repeat(np.arange(len(lists)), self.size)
+        # owner and rank of the time in one number: sorted, and past no limit at any span of times
+        ranks = np.unique(self.t)
+        self.span = len(ranks) + 1
+        self.key = self.owner * self.span + np.searchsorted(ranks, self.t)
+        self.low, self.high = np.searchsorted(ranks, self.t - width, "left"), np.searchsorted(ranks, self.t + width, "right")
+        together = np.searchsorted(self.key, self.owner * self.span + np.searchsorted(ranks, self.t + 2 * width, "right")) - np.arange(len(self.t))
+        #: sessions of the device, at most, that are within the width of one moment
+        self.crowd = np.zeros(len(lists), np.int64)
+        np.maximum.at(self.crowd, self.owner, together)
+
+    def closeness(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sum of 1 - gap / width over times of each x and each y that are at most the width apart."""
+        pair, at = spread(self.begin[x], self.size[x])
+        first = np.searchsorted(self.key, y[pair] * self.span + self.low[at], "left")
+        last = np.searchsorted(self.key, y[pair] * self.span + self.high[at], "left")
+        of, other = spread(first, last - first)
+        return np.bincount(pair[of], 1 - np.abs(self.t[at[of]] - self.t[other]) / self.width, len(x))
+
+    def behavioral(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        longest = np.fmax(self.length[x], self.length[y])
+        ratio = np.divide(np.fmin(self.length[x], self.length[y]), longest, out=np.zeros_like(longest), where=longest > 0)
+        alike = np.einsum("ij,ij->i", self.hours[x], self.hours[y]) + np.einsum("ij,ij->i", self.genres[x], self.genres[y])
+        return (alike + ratio) / np.where(longest > 0, 3, 2)
+
+    def score(self, x: np.ndarray, y: np.ndarray, login: np.ndarray) -> tuple[np.ndarray, ...]:
+        """login, temporal, behavioral, score, probability of pairs."""
+        temporal, behavioral = np.minimum(1.0, self.closeness(x, y) / np.minimum(self.n[x], self.n[y])), self.behavioral(x, y)
+        signals = ((temporal, 2.0), (behavioral, 1.5), (login, 5.0))
+        weight, total = sum((c > 0) * w for c, w in signals), sum(np.where(c > 0, c * w, 0.0) for c, w in signals)
+        score = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
+        return login, temporal, behavioral, score, np.where(weight > 0, 1 / (1 + np.exp(-(2 * score - 1))), 0.0)
+
+    def alike(self, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of left and right whose behavioral signal is at least so much, and some more.
+
+        The cosines of hours and genres are one product of matrices; what durations
+        can add to them is bounded for both slices, which are sorted by duration.
+        """
+        both = np.hstack([self.hours, self.genres]).astype(np.float32)
+        known = np.where(self.length > 0, self.length, 0.0)
+        left, right = left[np.argsort(known[left], kind="stable")], right[np.argsort(known[right], kind="stable")]
+        for i in range(0, len(left), SLICE_DEVICES):
+            x = left[i : i + SLICE_DEVICES]
+            for j in range(0, len(right), SLICE_OTHERS):
+                y = right[j : j + SLICE_OTHERS]
+                low = min(known[x[0]], known[y[0]])
+                bound = min(1.0, known[x[-1]] / known[y[0]], known[y[-1]] / known[x[0]]) if low > 0 else 1.0
+                if 3 * least - bound - SINGLE > 2:
+                    continue
+                products = both[x] @ both[y].T
+                found = np.flatnonzero(products >= 3 * least - bound - SINGLE)
+                a, b = x[found // len(y)], y[found % len(y)]
+                longest = np.maximum(known[a], known[b])
+                ratio = np.divide(np.minimum(known[a], known[b]), longest, out=np.ones_like(longest), where=np.minimum(known[a], known[b]) > 0)
+                near = products.ravel()[found] + ratio >= 3 * least - SINGLE
+                yield a[near], b[near]
+
+    def met(self, few: np.ndarray, many: np.ndarray, least: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of few and many whose temporal signal is at least so much, and some more, where the first has fewer sessions (or as many, unless strict).
+
+        So many of its sessions must meet one of the other's that of any few of them
+        some must: those at the least crowded times are looked at.
+        """
+        of_all = self.owner
+        for crowd in np.unique(self.crowd[many]):
+            some = many[self.crowd[many] == crowd]
+            if not crowd:
+                continue
+            must = np.ceil(least * self.n[few] / crowd - 1e-9).astype(np.int64).clip(1)
+            hits = np.minimum(3, must)
+            look = np.where(must <= self.size[few], self.size[few] - must + hits, 0)
+            _, at = spread(self.begin[some], self.size[some])
+            at = at[np.argsort(self.t[at], kind="stable")]
+            u, slot = self.t[at], np.full(len(self.n), -1)
+            slot[some] = np.arange(len(some))
+            whose = slot[of_all[at]]
+            of, mine = spread(self.begin[few], self.size[few])
+            first, last = np.searchsorted(u, self.t[mine] - self.width, "left"), np.searchsorted(u, self.t[mine] + self.width, "right")
+            order = np.lexsort((last - first, of))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(self.size[few]) - self.size[few], self.size[few])
+            order = order[place < look[of]]
+            of, first, count = of[order], first[order], (last - first)[order]
+            ends = np.searchsorted(of, np.arange(len(few)), "right")
+            work = np.cumsum(np.bincount(of, count, len(few)) + len(some))
+            begin = 0
+            while begin < len(few):
+                stop = max(begin + 1, int(np.searchsorted(work, PAIR_STARTS + (work[begin - 1] if begin else 0), "right")))
+                part = slice(ends[begin - 1] if begin else 0, ends[stop - 1])
+                k, v = spread(first[part], count[part])
+                met = np.bincount((of[part][k] - begin) * len(some) + whose[v], minlength=(stop - begin) * len(some)).reshape(stop - begin, len(some))
+                x, y = np.nonzero(met >= hits[begin:stop, None])
+                x, y = few[begin + x], some[y]
+                fewer = (self.n[x] < self.n[y]) | ((self.n[x] == self.n[y]) & (not strict))
+                yield x[fewer], y[fewer]
+                begin = stop
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ranges one after the other, and for each the place of its range."""
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def products(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (k, i, j) with i < x[k] and j < y[k], SCORED_PAIRS at a time."""
+    upto = np.cumsum(x * y)
+    for begin in range(0, int(upto[-1]) if len(upto) else 0, SCORED_PAIRS):
+        at = np.arange(begin, min(begin + SCORED_PAIRS, int(upto[-1])))
+        k = np.searchsorted(upto, at, "right")
+        at = at - (upto[k] - x[k] * y[k])
+        yield k, at // y[k], at % y[k]
+
+
+class Accounts:
+    """Lists of accounts."""
+
+    def __init__(self, lists: pa.Array):
+        self.size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.codes, self.begin = lists.flatten().dictionary_encode().indices.to_numpy(), np.cumsum(self.size) - self.size
+        self.only = np.full(len(lists), -1)
+        self.only[self.size == 1] = self.codes[self.begin[self.size == 1]]
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of accounts in common, and the code of the first of them by name, for sorted lists, or -1."""
+        same = (self.only[x] == self.only[y]) & (self.only[x] >= 0)
+        count, least = same.astype(np.int64), np.where(same, self.only[x], -1)
+        for k in np.flatnonzero((self.size[x] > 0) & (self.size[y] > 0) & (self.size[x] + self.size[y] > 2)):
+            theirs = set(self.of(y[k]).tolist())
+            both = [c for c in self.of(x[k]).tolist() if c in theirs]
+            count[k], least[k] = len(both), both[0] if both else -1
+        return count, least
+
+    def of(self, x: int) -> np.ndarray:
+        return self.codes[self.begin[x] : self.begin[x] + self.size[x]]
+
+
+SIGNALS = ("login", "temporal", "behavioral", "score", "probability")
+LINKS = "a string, b string, " + ", ".join(f"{c} double" for c in SIGNALS)
 
 
 def paired(rows: DataFrame, threshold: float, minutes: int = 30) -> DataFrame:
-    """The links among devices (device_id, n, avg_duration, times, accounts, hours, genres): every pair of blocks of devices is one task's.
+    """The links among devices (device_id, n, avg_duration, times, accounts, hours, genres).
 
-    No pair is shuffled: a device goes to as many tasks as there are blocks, and
-    what a task yields are links.
+    Devices with equal times, hours, genres and durations (to nine digits) are one
+    kind; every pair of blocks of kinds is one task's, which yields the links of
+    their devices. Without an account in common a link's score is a mean of the
+    temporal and the behavioral signal, so one of them reaches the least score: only
+    pairs where one can are scored, and those with accounts in common. No pair is shuffled.
     """
-    blocks = max(1, -(-rows.count() // BLOCK_DEVICES))
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, own = table.column("_i")[0].as_py(), table.column("_mine").to_numpy()
-        device = np.array(table.column("device_id").to_pylist(), dtype=object)
-        n, length = table.column("n").to_numpy().astype(float), table.column("avg_duration").to_numpy().astype(float)
-        hours, kinds = (unit_vectors(table.column(c).to_pylist()) for c in ("hours", "genres"))
-        times = [np.asarray(x, np.int64) for x in table.column("times").to_pylist()]
-        accounts = [set(x) for x in table.column("accounts").to_pylist()]
-        whole = np.flatnonzero(own == i)
-        right = np.flatnonzero(own != i) if (own != i).any() else whole if table.column("_j")[0].as_py() == i else whole[:0]
-        if not len(whole) or not len(right):
-            return LINKS.empty_table()
-        at = {}
-        for y, x in enumerate(right.tolist()):
-            for account in accounts[x]:
-                at.setdefault(account, []).append(y)
-        found = []
-        for begin in range(0, len(whole), SLICE_DEVICES):
-            left = whole[begin : begin + SLICE_DEVICES]
-            login = np.zeros((len(left), len(right)))
-            for y, x in enumerate(left.tolist()):
-                for account in accounts[x]:
-                    for z in at.get(account, ()):
-                        login[y, z] += 1 / max(len(accounts[x]), len(accounts[right[z]]))
-            longest = np.fmax(length[left][:, None], length[right][None])
-            ratio = np.divide(np.fmin(length[left][:, None], length[right][None]), longest, out=np.zeros_like(longest), where=longest > 0)
-            behavioral = (hours[left] @ hours[right].T + kinds[left] @ kinds[right].T + ratio) / np.where(longest > 0, 3, 2)
-            near = closeness_of([times[x] for x in left], [times[x] for x in right], minutes * 60_000_000)
-            temporal = np.minimum(1.0, near / np.minimum(n[left][:, None], n[right][None]))
-            signals = ((temporal, 2.0), (behavioral, 1.5), (login, 5.0))
-            weight, total = sum((c > 0) * w for c, w in signals), sum(np.where(c > 0, c * w, 0.0) for c, w in signals)
-            score = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
-            probability = np.where(weight > 0, 1 / (1 + np.exp(-(2 * score - 1))), 0.0)
-            x, y = np.nonzero(probability >= threshold)
-            if (own == i).all():
-                ordered = device[left[x]] < device[right[y]]
-                x, y = x[ordered], y[ordered]
-            a, b = device[left[x]], device[right[y]]
-            turned = (a > b).astype(bool)
-            values = [pa.array(np.where(turned, b, a).tolist(), pa.string()), pa.array(np.where(turned, a, b).tolist(), pa.string())]
-            found.append(pa.Table.from_arrays(values + [pa.array(c[x, y]) for c in (login, temporal, behavioral, score, probability)], schema=LINKS))
-        return pa.concat_tables(found)
-
-    LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), *[(c, pa.float64()) for c in ("login", "temporal", "behavioral", "score", "probability")]])
-    return dealt(rows, blocks).groupBy("_i", "_j").applyInArrow(compare, "a string, b string, login double, temporal double, behavioral double, score double, probability double")
+    width = minutes * 60_000_000
+    least = -np.inf if threshold <= 0 else np.inf if threshold >= 1 else (1 + np.log(threshold / (1 - threshold))) / 2
+    # what is judged in single steps may round otherwise than the score
+    least = least - 1e-6 if least > 1e-6 else -np.inf
+    genres = F.transform("genres", lambda e: F.struct(e["v"], F.round(e["x"], 9)))
+    kind = F.md5(F.to_json(F.struct("n", F.round("avg_duration", 9), "times", "hours", genres)))
+    what = ["n", "avg_duration", "times", "hours", "genres"]
+    kinds = rows.withColumn("_kind", kind).groupBy("_kind").agg(F.min_by(F.struct(*what), "device_id").alias("_what"), F.collect_list(F.struct("device_id", "accounts")).alias("_members")).select(F.col("_kind").alias("device_id"), "_what.*", "_members")
+    n_kinds = rows.select(F.countDistinct(kind)).first()[0]
+    blocks = max(PAIR_BLOCKS, -(-n_kinds // BLOCK_DEVICES))
+
+    def yielded(names: pa.Array, x: np.ndarray, y: np.ndarray, ranks: np.ndarray, signals: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        turned = ranks[x] > ranks[y]
+        a, b = np.where(turned, y, x), np.where(turned, x, y)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), *map(pa.array, signals)], ["a", "b", *SIGNALS])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        i, j, own = table.column("_i")[0].as_py(), table.column("_j")[0].as_py(), table.column("_mine").to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(left) or not len(right) or least == np.inf:
+            return
+        lists = table.column("_members").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        begin, flat = np.cumsum(size) - size, lists.flatten()
+        names, accounts = pc.struct_field(flat, "device_id"), Accounts(pc.struct_field(flat, "accounts"))
+        ranks = ranks_of(names)
+        p = Profiles(table, width)
+        for by_time, found in ((False, p.alike(left, right, least)), *([(True, p.met(left, right, least, False))] if least > 0 else []), *([(True, p.met(right, left, least, True))] if least > 0 and i != j else [])):
+            for many_x, many_y in found:
+                # within a block each pair once, by its places or, among equal numbers of sessions, by these
+                once = (many_x <= many_y) if not by_time else (p.n[many_x] < p.n[many_y]) | (many_x <= many_y)
+                many_x, many_y = (many_x[once], many_y[once]) if i == j else (many_x, many_y)
+                for at in range(0, len(many_x), SCORED_PAIRS):
+                    x, y = many_x[at : at + SCORED_PAIRS], many_y[at : at + SCORED_PAIRS]
+                    mine = (p.behavioral(x, y) < least) == by_time
+                    x, y = x[mine], y[mine]
+                    signals = p.score(x, y, np.zeros(len(x)))
+                    linked = np.flatnonzero(signals[-1] >= threshold)
+                    x, y, signals = x[linked], y[linked], [s[linked] for s in signals]
+                    for k, a, b in products(size[x], size[y]):
+                        a, b = begin[x[k]] + a, begin[y[k]] + b
+                        keep = ((x[k] != y[k]) | (a < b)) & (accounts.common(a, b)[0] == 0)
+                        if keep.any():
+                            yield yielded(names, a[keep], b[keep], ranks, [s[k[keep]] for s in signals])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by([("_account", "ascending"), ("device_id", "ascending")]).combine_chunks()
+        i, j, own = table.column("_i")[0].as_py(), table.column("_j")[0].as_py(), table.column("_mine").to_numpy()
+        names, accounts = table.column("device_id").combine_chunks(), Accounts(table.column("accounts").combine_chunks())
+        by = table.column("_account").combine_chunks().dictionary_encode().indices.to_numpy()
+        own_name = table.column("_account").combine_chunks()
+        first_common = table.column("accounts").combine_chunks()
+        ranks = ranks_of(names)
+        p = Profiles(table, width)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        first, last = np.searchsorted(by[right], by[left], "left"), np.searchsorted(by[right], by[left], "right")
+        code = {c: k for k, c in enumerate(first_common.flatten().dictionary_encode().dictionary.to_pylist())}
+        here = np.array([code[c] for c in own_name.to_pylist()])
+        for k, _, b in products(np.ones(len(left), np.int64), last - first):
+            x, y = left[k], right[first[k] + b]
+            once = ranks[x] < ranks[y] if i == j else np.ones(len(x), bool)
+            x, y = x[once], y[once]
+            count, least_common = accounts.common(x, y)
+            once = least_common == here[x]
+            x, y, count = x[once], y[once], count[once]
+            signals = p.score(x, y, count / np.maximum(accounts.size[x], accounts.size[y]))
+            linked = signals[-1] >= threshold
+            if linked.any():
+                yield yielded(names, x[linked], y[linked], ranks, [s[linked] for s in signals])
+
+    others = dealt(kinds, blocks).repartition(blocks * (blocks + 1) // 2, "_i", "_j").groupBy("_i", "_j").applyInArrow(apart, LINKS)
+    used = rows.withColumn("_account", F.explode("accounts"))
+    sizes = used.groupBy("_account").agg(F.count("*").alias("_size")).where("_size > 1")
+    shared = used.join(sizes, "_account").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK_DEVICES).cast("int"))
+    groups = max(PAIR_BLOCKS, -(-rows.count() // 4000))
+    near = dealt(shared.withColumn("_group", F.pmod(F.xxhash64("_account"), F.lit(groups))), F.col("_blocks"))
+    return others.unionByName(near.groupBy("_group", "_i", "_j").applyInArrow(together, LINKS))
+
+
+def ranks_of(names: pa.Array) -> np.ndarray:
+    """Each name's place in sorted order, equal for equal names."""
+    return pc.rank(names, "ascending", tiebreaker="dense").to_numpy()
 
 
 def link_id(a: Column, b: Column) -> Column:

@@ -159,3 +159,83 @@ def test_order_of_addition_decides_no_bracket(spark):
     made = [("a", "Kids", 0.1 + 0.2 + 0.3), ("a", "Action", 0.3 + 0.2 + 0.1), ("b", "Action", 0.1 + 0.2 + 0.3), ("b", "Drama", 0.3 + 0.2 + 0.1)]
     found = members.age_brackets(spark.createDataFrame(made, "id string, genre string, amount double"), "id")
     assert {r.id: r.bracket for r in found.collect()} == {"a": "teen", "b": "adult"}
+
+
+def linked_devices(r, n=90):
+    """Sessions and genres of devices: some alike, some met at all times, with bursts, several accounts, no durations and no times."""
+    start, made, genres = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), [], []
+    for d in range(n):
+        like = d % 30 if d >= 60 else d
+        s = np.random.default_rng(like)
+        hours = s.choice([2, 9, 20], 5 + like % 9) if like % 3 else s.integers(0, 24, 5 + like % 9)
+        at = [int(24 * 60 * x + 60 * h + s.integers(0, 60)) for x, h in zip(s.permutation(25), hours)]
+        if 20 <= like < 30:  # meets device 7 at nearly all times, with other tastes and durations
+            t = np.random.default_rng(7)
+            h7 = t.choice([2, 9, 20], 5 + 7 % 9)
+            at = [int(24 * 60 * x + 60 * h + t.integers(0, 60)) + int(r.integers(0, 3)) for x, h in zip(t.permutation(25), h7)]
+        if like % 11 == 3:
+            at += [at[0] + 5, at[0] + 9]
+        for k, minute in enumerate(at):
+            account = f"a{d // 4}" if d % 7 or k % 2 else f"a{(d + 5) // 4}"
+            duration = None if like % 13 == 5 else 0.0 if like % 17 == 4 else float(1 + like % 20)
+            made.append((f"{d}-é" if d % 5 == 0 else str(d), account, None if k == 1 and like == 9 else start + dt.timedelta(minutes=minute), (minute // 60) % 24, duration))
+        genres += [(made[-1][0], g, float(x)) for g, x in zip(("x", "y", "z", None), s.integers(0, 30, 4)) if like % 12]
+    return made, genres
+
+
+def brute_links(made, genres, threshold):
+    by = {}
+    for d, account, t, hour, duration in made:
+        by.setdefault(d, []).append((account, t, hour, duration))
+    out = {}
+    cosine = lambda p, q: 0.0 if not any(p.values()) or not any(q.values()) else sum(p[k] * q.get(k, 0) for k in p) / np.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
+    taste = {d: {g: x for e, g, x in genres if e == d and g is not None} for d in by}
+    hours = {d: {h: sum(y[2] == h for y in rows) for h in {y[2] for y in rows}} for d, rows in by.items()}
+    known = {d: [y[3] for y in rows if y[3] is not None] for d, rows in by.items()}
+    mean = {d: np.mean(v) if v else np.nan for d, v in known.items()}
+    for a, b in itertools.combinations(sorted(by), 2):
+        one, two = by[a], by[b]
+        near = sum(1 - abs(x[1] - y[1]) / dt.timedelta(minutes=30) for x in one for y in two if x[1] and y[1] and abs(x[1] - y[1]) <= dt.timedelta(minutes=30))
+        t = min(1.0, near / min(len(one), len(two)))
+        longest = np.fmax(mean[a], mean[b])
+        m = (cosine(hours[a], hours[b]) + cosine(taste[a], taste[b]) + (np.fmin(mean[a], mean[b]) / longest if longest > 0 else 0)) / (3 if longest > 0 else 2)
+        p, q = {x[0] for x in one}, {x[0] for x in two}
+        login = len(p & q) / max(len(p), len(q))
+        parts = [(v, w) for v, w in ((t, 2.0), (m, 1.5), (login, 5.0)) if v > 0]
+        score = sum(v * w for v, w in parts) / sum(w for _, w in parts) if parts else 0.0
+        chance = 1 / (1 + np.exp(-(2 * score - 1))) if parts else 0.0
+        if chance >= threshold:
+            out[a, b] = (login, t, m, score, chance)
+    return out
+
+
+def test_device_links_are_those_of_all_pairs(spark, monkeypatch):
+    made, genres = linked_devices(np.random.default_rng(5))
+    sessions = spark.createDataFrame([(f"s{i}", *x) for i, x in enumerate(made)], "session_id string, device_id string, account_id string, start_time timestamp, hour_of_day int, total_duration double")
+    seconds = spark.createDataFrame(genres, "device_id string, genre string, seconds double")
+    for threshold, sizes in ((0.66, {}), (0.7, {"BLOCK_DEVICES": 9, "SLICE_DEVICES": 4, "SLICE_OTHERS": 3, "SCORED_PAIRS": 5, "PAIR_STARTS": 40}), (0.62, {}), (0.2, {})):
+        for name, value in sizes.items():
+            monkeypatch.setattr(linking, name, value)
+        want = brute_links(made, genres, threshold)
+        rows = linking.device_links(sessions, seconds, threshold).collect()
+        got = {(x.a, x.b): tuple(x)[2:] for x in rows}
+        assert len(rows) == len(got) and set(got) == set(want)
+        assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in want)
+    met = [v for v in brute_links(made, genres, 0.66).values() if v[0] == 0]
+    assert sum(v[1] > 0.9 > 0.8 > v[2] for v in met) > 5 and sum(v[1] == 0 for v in met) > 5
+
+
+def test_few_pairs_of_devices_are_scored():
+    """Of 400 devices at random times those that meet or are alike, not all 79,800 pairs."""
+    r = np.random.default_rng(1)
+    times = [sorted(r.integers(0, 30 * 86_400_000_000, 12).tolist()) for _ in range(399)]
+    times.append([t + 1_000_000 for t in times[0]])
+    entries = lambda k, n: [[{"v": str(v), "x": float(r.integers(1, 9))} for v in sorted(r.permutation(k)[:n].tolist())] for _ in range(400)]
+    table = linking.pa.table({"n": [12] * 400, "avg_duration": r.exponential(50, 400) + 1, "hours": entries(24, 9), "genres": entries(10, 5), "times": times})
+    p, every = linking.Profiles(table, 1_800_000_000), np.arange(400)
+    for least, found in ((0.83, p.met(every, every, 0.83, False)), (0.83, p.alike(every, every, 0.83))):
+        pairs = {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
+        assert len(pairs) < 0.05 * 400 * 400
+        a, b = (z.ravel() for z in np.meshgrid(every, every))
+        signal = np.minimum(1, p.closeness(a, b) / 12) if (0, 399) in pairs else p.behavioral(a, b)
+        assert {(int(i), int(j)) for i, j in zip(a[signal >= least], b[signal >= least])} <= pairs
