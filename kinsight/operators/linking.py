@@ -130,21 +130,20 @@ def vectors_of(amounts: DataFrame, value: str, name: str) -> DataFrame:
     return amounts.where(F.col(value).isNotNull()).groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("string").alias("v"), "x"))).alias(name))
 
 
-def unit_vectors(entries: pa.ChunkedArray) -> np.ndarray:
-    """A row of unit length for each list of (v, x), zero where it has no length; columns by v."""
-    lists = entries.combine_chunks()
-    flat = lists.flatten()
-    names = pc.struct_field(flat, "v").dictionary_encode()
+def unit_vectors(values: pa.ChunkedArray, amounts: pa.ChunkedArray) -> np.ndarray:
+    """A row of unit length for each list of values and its amounts, zero where it has no length; columns by value."""
+    lists = values.combine_chunks()
+    names = lists.flatten().dictionary_encode()
     place = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), dtype=object)))
     out = np.zeros((len(lists), len(place)))
     row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-    out[row, place[names.indices.to_numpy()]] = pc.fill_null(pc.struct_field(flat, "x"), 0.0).to_numpy(zero_copy_only=False)
+    out[row, place[names.indices.to_numpy()]] = pc.fill_null(amounts.combine_chunks().flatten(), 0.0).to_numpy(zero_copy_only=False)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
 #: Devices that are compared with as many others by a task, and of these at a time on either side.
-BLOCK_DEVICES, SLICE_DEVICES, SLICE_OTHERS = 20_000, 250, 4096
+BLOCK_DEVICES, SLICE_DEVICES, SLICE_OTHERS = 30_000, 250, 4096
 #: Pairs that are scored at a time.
 SCORED_PAIRS = 1 << 17
 #: What products of single precision may be off by.
@@ -152,12 +151,12 @@ SINGLE = 1e-4
 
 
 class Profiles:
-    """What pairs of devices are scored by, of a table with n, avg_duration, times, hours and genres."""
+    """What pairs of devices are scored by, of a table with n, avg_duration, times, hours and genres with their amounts."""
 
     def __init__(self, table: pa.Table, width: int):
         self.width = width
         self.n, self.length = table.column("n").to_numpy().astype(float), table.column("avg_duration").to_numpy().astype(float)
-        self.hours, self.genres = unit_vectors(table.column("hours")), unit_vectors(table.column("genres"))
+        self.hours, self.genres = (unit_vectors(table.column(c), table.column(f"{c}_x")) for c in ("hours", "genres"))
         lists = table.column("times").combine_chunks()
         self.t, self.size = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
         self.begin, self.owner = np.cumsum(self.size) - self.size, np.repeat(np.arange(len(lists)), self.size)
@@ -250,9 +249,10 @@ class Profiles:
                 stop = max(begin + 1, int(np.searchsorted(work, PAIR_STARTS + (work[begin - 1] if begin else 0), "right")))
                 part = slice(ends[begin - 1] if begin else 0, ends[stop - 1])
                 k, v = spread(first[part], count[part])
-                met = np.bincount((of[part][k] - begin) * len(some) + whose[v], minlength=(stop - begin) * len(some)).reshape(stop - begin, len(some))
-                x, y = np.nonzero(met >= hits[begin:stop, None])
-                x, y = few[begin + x], some[y]
+                met = np.bincount((of[part] - begin)[k] * len(some) + whose[v], minlength=(stop - begin) * len(some))
+                found = np.flatnonzero(met >= hits[begin:stop].min())
+                found = found[met[found] >= hits[begin + found // len(some)]]
+                x, y = few[begin + found // len(some)], some[found % len(some)]
                 fewer = (self.n[x] < self.n[y]) | ((self.n[x] == self.n[y]) & (not strict))
                 yield x[fewer], y[fewer]
                 begin = stop
@@ -316,7 +316,7 @@ def paired(rows: DataFrame, threshold: float, minutes: int = 30) -> DataFrame:
     least = least - 1e-6 if least > 1e-6 else -np.inf
     genres = F.transform("genres", lambda e: F.struct(e["v"], F.round(e["x"], 9)))
     kind = F.md5(F.to_json(F.struct("n", F.round("avg_duration", 9), "times", "hours", genres)))
-    what = ["n", "avg_duration", "times", "hours", "genres"]
+    what = ["n", "avg_duration", "times", *[F.col(f"{c}.{e}").alias(name) for c in ("hours", "genres") for e, name in (("v", c), ("x", f"{c}_x"))]]
     kinds = rows.withColumn("_kind", kind).groupBy("_kind").agg(F.min_by(F.struct(*what), "device_id").alias("_what"), F.collect_list(F.struct("device_id", "accounts")).alias("_members")).select(F.col("_kind").alias("device_id"), "_what.*", "_members")
     n_kinds = rows.select(F.countDistinct(kind)).first()[0]
     blocks = max(PAIR_BLOCKS, -(-n_kinds // BLOCK_DEVICES))
@@ -382,7 +382,7 @@ def paired(rows: DataFrame, threshold: float, minutes: int = 30) -> DataFrame:
                 yield yielded(names, x[linked], y[linked], ranks, [s[linked] for s in signals])
 
     others = dealt(kinds, blocks).repartition(blocks * (blocks + 1) // 2, "_i", "_j").groupBy("_i", "_j").applyInArrow(apart, LINKS)
-    used = rows.withColumn("_account", F.explode("accounts"))
+    used = rows.select("device_id", "accounts", *what, F.explode("accounts").alias("_account"))
     sizes = used.groupBy("_account").agg(F.count("*").alias("_size")).where("_size > 1")
     shared = used.join(sizes, "_account").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK_DEVICES).cast("int"))
     groups = max(PAIR_BLOCKS, -(-rows.count() // 4000))

@@ -230,12 +230,12 @@ def test_few_pairs_of_devices_are_scored():
     r = np.random.default_rng(1)
     times = [sorted(r.integers(0, 30 * 86_400_000_000, 12).tolist()) for _ in range(399)]
     times.append([t + 1_000_000 for t in times[0]])
-    entries = lambda k, n: [[{"v": str(v), "x": float(r.integers(1, 9))} for v in sorted(r.permutation(k)[:n].tolist())] for _ in range(400)]
-    table = linking.pa.table({"n": [12] * 400, "avg_duration": r.exponential(50, 400) + 1, "hours": entries(24, 9), "genres": entries(10, 5), "times": times})
+    some = lambda k, n: [[str(v) for v in r.permutation(k)[:n]] for _ in range(400)]
+    amounts = lambda n: r.integers(1, 9, (400, n)).astype(float).tolist()
+    table = linking.pa.table({"n": [12] * 400, "avg_duration": r.exponential(50, 400) + 1, "hours": some(24, 9), "hours_x": amounts(9), "genres": some(10, 5), "genres_x": amounts(5), "times": times})
     p, every = linking.Profiles(table, 1_800_000_000), np.arange(400)
-    for least, found in ((0.83, p.met(every, every, 0.83, False)), (0.83, p.alike(every, every, 0.83))):
-        pairs = {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
-        assert len(pairs) < 0.05 * 400 * 400
-        a, b = (z.ravel() for z in np.meshgrid(every, every))
-        signal = np.minimum(1, p.closeness(a, b) / 12) if (0, 399) in pairs else p.behavioral(a, b)
-        assert {(int(i), int(j)) for i, j in zip(a[signal >= least], b[signal >= least])} <= pairs
+    a, b = (z.ravel() for z in np.meshgrid(every, every))
+    for found, signal in ((p.met(every, every, 0.83, False), np.minimum(1, p.closeness(a, b) / 12)), (p.alike(every, every, 0.83), p.behavioral(a, b))):
+        pairs = {(int(i), int(j)) for x, y in found for i, j in zip(x, y)}
+        assert {(int(i), int(j)) for i, j in zip(a[signal >= 0.83], b[signal >= 0.83])} <= pairs
+        assert 400 < len(pairs) < 0.05 * 400 * 400
